@@ -366,7 +366,7 @@ def median_imputation(spark, sf_dir):
 _SUMMARY = "\nUNION ALL\n".join(
     f"SELECT '{c}' AS feature, count({c}) AS n, {sql_significant(f'avg({c})')} AS mean, "
     f"{sql_significant(f'stddev_samp({c})')} AS std, min({c}) AS min, max({c}) AS max, "
-    + ", ".join(f"{sql_significant(f'quantile_cont({c}, 0.{q})')} AS q{q}" for q in ("25", "50", "75"))
+    + ", ".join(f"round(quantile_cont({c}, 0.{q}), 6) AS q{q}" for q in ("25", "50", "75"))
     + " FROM features"
     for c in _NUMERIC
 )
@@ -377,7 +377,12 @@ def feature_summary(spark, sf_dir):
     slim = stage(features(spark, sf_dir).select(*_NUMERIC), "summary-input")
     table = describe(slim, _NUMERIC)
     return table.select(
-        "feature", "n", "min", "max", *[significant(c).alias(c) for c in ("mean", "std", "q25", "q50", "q75")]
+        "feature",
+        "n",
+        "min",
+        "max",
+        *[significant(c).alias(c) for c in ("mean", "std")],
+        *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")],
     )
 
 
