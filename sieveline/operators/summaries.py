@@ -50,24 +50,33 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("share", F.try_divide(F.col("n").cast("double"), total.cast("double")))
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, sample std, min, exact quartiles and max per column."""
+def describe(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
+    """count, mean, sample std, min, quartiles and max per column.
+
+    Exact quartiles sort the distinct values of all columns. ``approximate``
+    takes them from a sketch in the same single pass as the rest.
+    """
     long = long_values(df, columns)
-    basic = long.groupBy("feature").agg(
+    basic = [
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-    )
+    ]
+    shares = [0.25, 0.5, 0.75]
+    if approximate:
+        sketch = long.groupBy("feature").agg(*basic, F.percentile_approx("value", shares).alias("q"))
+        marks = [F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
+        return sketch.select("*", *marks).drop("q")
     quartiles = (
-        exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+        exact_quantiles(df, columns, shares)
         .groupBy("feature")
-        .pivot("share", [0.25, 0.5, 0.75])
+        .pivot("share", shares)
         .agg(F.first("quantile"))
         .toDF("feature", "q25", "q50", "q75")
     )
-    return basic.join(quartiles, "feature")
+    return long.groupBy("feature").agg(*basic).join(quartiles, "feature")
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline import settings as S
-from sieveline.operators.features import feature_table
+from sieveline.operators.features import base_amounts, feature_table, sector_code, with_ratios
 from sieveline.operators.labeling import label_companies
+from sieveline.operators.models import score
 from sieveline.operators.reshape import (
     aggregate_years,
     attach_sector,
@@ -76,6 +78,26 @@ def screen_portfolio(
     return flat_decisions(decided)
 
 
+def hybrid_screen(
+    portfolio: DataFrame,
+    model: PipelineModel,
+    importance: Sequence[tuple[str, float]] = (),
+    rules: S.ScreeningRules = S.ScreeningRules(),
+    null_checked: Sequence[str] | None = None,
+) -> DataFrame:
+    """Nested decisions; edge cases get the probability of ``model``.
+
+    The inputs travel with the decision, so features, score and decision are
+    one pass over the portfolio without a join.
+    """
+    inputs = ["sector", *S.AMOUNTS]
+    decided = screen(portfolio, rules, null_checked, keep=inputs)
+    kept = [c for c in decided.columns if c not in inputs]
+    features = with_ratios(base_amounts(decided, [*kept, "sector"]))
+    coded = features.withColumn("sector_encoded", sector_code(F.col("sector")))
+    return with_model_confidence(score(model, coded), "probability", importance).select(*kept)
+
+
 def portfolio_summary(predictions: DataFrame, prediction: str = "predicted_compliant") -> DataFrame:
     """Permit and reject counts with their shares."""
     p, n = F.col(prediction), F.count("*")
