@@ -18,6 +18,7 @@ from sieveline.catalog.base import (
     with_sql,
 )
 from sieveline.operators import metrics as M
+from sieveline.operators import models as L
 from sieveline.operators import splits as P
 from sieveline.operators import summaries as A
 from sieveline.operators import thresholds as T
@@ -44,19 +45,13 @@ def _rounded(df, digits=9, skip=()):
     with_sql(
         SQL_SCORED,
         """SELECT symbol, label AS shariah_compliant, prediction AS predicted_compliant,
-  probability AS compliance_probability, confidence, CAST(label = prediction AS INTEGER) AS prediction_correct
+  probability AS compliance_probability, 1 - probability AS non_compliance_probability, confidence, CAST(label = prediction AS INTEGER) AS prediction_correct
 FROM scored""",
     ),
 )
 def prediction_table(spark, sf_dir):
-    return scored(spark, sf_dir).select(
-        "symbol",
-        F.col("label").alias("shariah_compliant"),
-        F.col("prediction").alias("predicted_compliant"),
-        F.col("probability").alias("compliance_probability"),
-        "confidence",
-        (F.col("label") == F.col("prediction")).cast("int").alias("prediction_correct"),
-    )
+    data = scored(spark, sf_dir).select("symbol", "label", "probability")
+    return L.prediction_table(data)
 
 
 @query(
@@ -512,7 +507,7 @@ triples AS (
   SELECT row_number() OVER (ORDER BY a, b) - 1 AS candidate, a / 10 AS w1, b / 10 AS w2, (10 - a - b) / 10 AS w3
   FROM range(0, 11) x(a), range(0, 10) y(b) WHERE a + b < 10),
 hits AS (
-  SELECT candidate, w1, w2, w3, label, round(w1 * p1 + w2 * p2 + w3 * p3, 12) >= 0.5 AS hit FROM three, triples),
+  SELECT candidate, w1, w2, w3, label, w1 * p1 + w2 * p2 + w3 * p3 >= 0.5::DOUBLE - 1e-12 AS hit FROM three, triples),
 blends AS (
   SELECT candidate, w1, w2, w3, round(coalesce(2 * count(*) FILTER (hit AND label = 1)
     / nullif(count(*) FILTER (hit) + count(*) FILTER (label = 1), 0), 0), 9) AS f1 FROM hits GROUP BY ALL)"""

@@ -9,7 +9,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sieveline import settings as S
-from sieveline.catalog.base import LABEL_RULES, SCREENING_RULES, query
+from sieveline.catalog.base import (
+    LABEL_RULES,
+    SCREENING_RULES,
+    SQL_FEATURES,
+    SQL_LABELS,
+    labels,
+    query,
+    with_sql,
+)
 from sieveline.operators import contributions as C
 from sieveline.operators import ensembles as E
 from sieveline.operators import metrics as M
@@ -19,11 +27,10 @@ from sieveline.operators import summaries as A
 from sieveline.operators import tuning as T
 from sieveline.operators import validation as V
 from sieveline.operators.features import feature_table
-from sieveline.operators.guardrails import recommendations
 from sieveline.operators.labeling import label_companies
 from sieveline.operators.screening import flat_decisions
 from sieveline.operators.surrogate import local_surrogate
-from sieveline.plans.jobs import hybrid_screen
+from sieveline.plans.jobs import hybrid_screen, technical_report
 from sieveline.plans.star_schema import companies
 from sieveline.sources.staging import stage, staged_path
 
@@ -224,26 +231,85 @@ def model_summary(spark, sf_dir):
 
 
 @query("technical_report")
-def technical_report(spark, sf_dir):
+def report(spark, sf_dir):
     data = rows(spark, sf_dir)
-    model = L.fit(data, FEATURES, SMALL)
-    predicted = stage(L.with_prediction(L.score(model, data)), "predicted")
-    counts = stage(M.confusion(predicted), "counts")
-    headline = M.hard_metrics(counts, ("accuracy",)).withColumns(
-        {
-            "auc": M.auc(predicted).scalar(),
-            "compliant_share": predicted.agg(F.avg(F.col("prediction").cast("double"))).scalar(),
-        }
+    return technical_report(L.fit(data, FEATURES, SMALL), SMALL, data, FEATURES, L.KEY)
+
+
+# --- operators on given contributions and counts, checked in SQL ------------------
+
+SQL_REASONS = SQL_FEATURES + """,
+reasons AS (
+  SELECT company_id, 'debt' AS feature, debt_to_assets AS value, 5.0 * (0.3 - debt_to_assets) AS contribution
+  FROM features
+  UNION ALL SELECT company_id, 'income', f_nonhalal, 8.0 * (0.05 - f_nonhalal) FROM features
+  UNION ALL SELECT company_id, 'profit', roa, 2.0 * greatest(-1.0, least(1.0, roa)) FROM features
+  UNION ALL SELECT company_id, 'interest', riba_intensity, 10.0 * (0.04 - riba_intensity) FROM features)"""
+
+
+def _reasons(spark, sf_dir):
+    """Contributions of a fixed additive score."""
+    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("roa")))
+    parts = {
+        "debt": ("debt_to_assets", F.lit(5.0) * (F.lit(0.3) - F.col("debt_to_assets"))),
+        "income": ("f_nonhalal", F.lit(8.0) * (F.lit(0.05) - F.col("f_nonhalal"))),
+        "profit": ("roa", F.lit(2.0) * bounded),
+        "interest": ("riba_intensity", F.lit(10.0) * (F.lit(0.04) - F.col("riba_intensity"))),
+    }
+    structs = [
+        F.struct(F.lit(n).alias("feature"), F.col(v).alias("value"), c.alias("contribution"))
+        for n, (v, c) in parts.items()
+    ]
+    data = feature_table(companies(spark, sf_dir))
+    return data.select(F.col("symbol").cast("long").alias(L.KEY), F.array(*structs).alias("reasons"))
+
+
+@query(
+    "ranked_reasons",
+    with_sql(
+        SQL_REASONS,
+        """SELECT * FROM (SELECT company_id, feature, value, contribution,
+  CASE WHEN contribution > 0 THEN 'compliant' ELSE 'non_compliant' END AS direction,
+  CAST(row_number() OVER (PARTITION BY company_id ORDER BY abs(contribution) DESC, feature) AS INTEGER) AS rank
+FROM reasons) WHERE rank <= 3""",
+    ),
+)
+def ranked_reasons(spark, sf_dir):
+    return C.top_contributions(_reasons(spark, sf_dir), top=3)
+
+
+@query(
+    "reason_shares",
+    with_sql(
+        SQL_REASONS,
+        """SELECT feature, round(avg(abs(contribution)), 9) AS mean_abs,
+  round(100 * avg(abs(contribution)) / sum(avg(abs(contribution))) OVER (), 8) AS importance_pct
+FROM reasons GROUP BY feature""",
+    ),
+)
+def reason_shares(spark, sf_dir):
+    shares = C.global_contributions(C.feature_contributions(_reasons(spark, sf_dir)))
+    return shares.select(
+        "feature", F.round("mean_abs", 9).alias("mean_abs"), F.round("importance_pct", 8).alias("importance_pct")
     )
+
+
+@query(
+    "label_report",
+    with_sql(
+        SQL_LABELS,
+        """SELECT '{"labels":[{"total_companies":' || count(*) || ',"compliant":' || sum(shariah_compliant)
+  || ',"non_compliant":' || (count(*) - sum(shariah_compliant)) || '}],"weights":[{"n_negative":'
+  || count(*) FILTER (shariah_compliant = 0) || ',"n_positive":' || count(*) FILTER (shariah_compliant = 1) || '}]}'
+  AS document FROM labels""",
+    ),
+)
+def label_report(spark, sf_dir):
+    made = labels(spark, sf_dir)
     return R.report_json(
         spark,
         {
-            "model_summary": R.model_summary(spark, SMALL, FEATURES, M.hard_metrics(counts)),
-            "confusion_matrix": M.confusion_metrics(counts),
-            "prediction_statistics": A.prediction_statistics(predicted, "prediction"),
-            "confidence_distribution": A.confidence_histogram(predicted),
-            "feature_importance": L.importance_table(spark, model, FEATURES),
-            "data": A.dataset_summary(data, "training rows", L.KEY),
-            "recommendations": recommendations(headline),
+            "labels": A.label_summary(made).drop("compliant_pct"),
+            "weights": M.class_weight(made, "shariah_compliant").drop("scale_pos_weight"),
         },
     )

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.operators.models import KEY, save_model, trees_of
-from sieveline.sources.staging import staged_path
+from sieveline.sources.staging import spread, staged_path
 
 
 @dataclass(frozen=True)
@@ -135,7 +135,7 @@ def row_contributions(
     """
     names = list(features)
     leaves = df.sparkSession.sparkContext.broadcast(tree_leaves(model, df))
-    prepared = df
+    prepared = spread(df)
     for step in model.stages[:-1]:
         prepared = step.transform(prepared)
     vectors = prepared.select(

@@ -187,6 +187,6 @@ def enrich(df: DataFrame, scale: float = 100.0) -> tuple[DataFrame, list[str]]:
     """
     rowwise = with_squares(with_interactions(fill_base_ratios(df), scale), scale)
     staged = stage(with_health_index(rowwise, scale), "enrich-base")
-    whole = with_zscores(with_sector_averages(with_domain_risk(staged, scale)))
+    whole = with_sector_averages(with_zscores(with_domain_risk(staged, scale)))
     out = with_risk_quantile(whole)
     return out, [f for f in (*BASE_LIST, *ENGINEERED) if f in out.columns]

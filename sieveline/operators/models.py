@@ -90,6 +90,20 @@ def with_prediction(scored: DataFrame, threshold: float = 0.5, probability: str
     return out
 
 
+def prediction_table(scored: DataFrame, key: str = "symbol", threshold: float = 0.5) -> DataFrame:
+    """The prediction columns of a scored table, with the non-compliant probability."""
+    out = with_prediction(scored, threshold)
+    return out.select(
+        key,
+        F.col(LABEL).alias("shariah_compliant"),
+        F.col("prediction").alias("predicted_compliant"),
+        F.col("probability").alias("compliance_probability"),
+        (F.lit(1.0) - F.col("probability")).alias("non_compliance_probability"),
+        "confidence",
+        F.col("correct").alias("prediction_correct"),
+    )
+
+
 def positive_weight(df: DataFrame) -> float:
     return float(M.class_weight(df, LABEL).first()["scale_pos_weight"])
 

@@ -1,9 +1,8 @@
 """A local linear model around each row, fitted to the model's own scores.
 
 Every row is perturbed a fixed number of times, all copies are scored by the
-model, and the weighted normal equations are summed per row. Copies of a row
-are made in one task, so the sums shrink to one record per row before the
-shuffle.
+model, and the weighted normal equations are summed and solved per row. The
+copies are made, scored and summed in the same task.
 """
 
 from __future__ import annotations
@@ -11,26 +10,26 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.operators.models import KEY, score
+from sieveline.sources.staging import spread
 
 _TWO_PI = 6.283185307179586
+_WORD = 4294967296.0
 
 
-def _uniform(*parts: Column) -> Column:
-    """A number in (0, 1) from a hash of the parts."""
-    bits = F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double")
-    return (bits + F.lit(0.5)) / F.lit(9007199254740992.0)
-
-
-def _normal(*parts: Column) -> Column:
-    """A standard normal number from two hashes (Box-Muller)."""
-    radius = F.sqrt(F.lit(-2.0) * F.ln(_uniform(*parts, F.lit("r"))))
-    return radius * F.cos(F.lit(_TWO_PI) * _uniform(*parts, F.lit("a")))
+def _normal_pair(*parts: Column) -> tuple[Column, Column]:
+    """Two standard normal numbers from the halves of one hash (Box-Muller)."""
+    bits = F.xxhash64(*parts)
+    first = (F.shiftrightunsigned(bits, 32).cast("double") + F.lit(0.5)) / F.lit(_WORD)
+    second = bits.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") / F.lit(_WORD)
+    radius, angle = F.sqrt(F.lit(-2.0) * F.ln(first)), F.lit(_TWO_PI) * second
+    return radius * F.cos(angle), radius * F.sin(angle)
 
 
 def perturbations(
@@ -39,16 +38,18 @@ def perturbations(
     """``samples`` copies of every row; copy 0 is the row itself.
 
     Features move by normal noise times their standard deviation over the
-    table. ``z_<i>`` holds the noise, ``weight`` falls with its length.
+    table. ``z_<i>`` holds the noise, ``weight`` falls with its length. The
+    noise depends on key, copy and seed only, so a retried task repeats it.
     """
-    spread = df.agg(F.struct(*[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)])).scalar()
-    copies = df.select(key, *features).withColumn("_spread", spread)
+    spread_of = df.agg(F.struct(*[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)])).scalar()
+    copies = spread(df.select(key, *features)).withColumn("_spread", spread_of)
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    pairs = [
+        _normal_pair(F.col(key), F.col("copy"), F.lit(i), F.lit(seed)) for i in range(0, len(features), 2)
+    ]
     noise = {
-        f"z_{i}": F.when(F.col("copy") == 0, F.lit(0.0)).otherwise(
-            _normal(F.col(key), F.col("copy"), F.lit(i), F.lit(seed))
-        )
-        for i in range(len(features))
+        f"z_{i}": F.when(F.col("copy") == 0, F.lit(0.0)).otherwise(z)
+        for i, z in enumerate([z for pair in pairs for z in pair][: len(features)])
     }
     copies = copies.withColumns(noise)
     length = sum((F.col(z) * F.col(z) for z in noise), F.lit(0.0))
@@ -64,31 +65,40 @@ def perturbations(
     )
 
 
-def _solve(upper: np.ndarray, target: np.ndarray, ridge: float) -> np.ndarray:
-    """Ridge solution for one row; the intercept (last) is not penalised."""
-    d = len(target)
-    matrix = np.zeros((d, d))
-    matrix[np.triu_indices(d)] = upper
-    matrix = matrix + np.triu(matrix, 1).T
-    penalty = np.full(d, ridge)
+def _ridge(matrix: np.ndarray, target: np.ndarray, ridge: float) -> np.ndarray:
+    """Ridge solution of the normal equations; the intercept (last) is not penalised."""
+    penalty = np.full(len(target), ridge)
     penalty[-1] = 0.0
     return np.linalg.solve(matrix + np.diag(penalty), target)
 
 
-def _chosen(upper: np.ndarray, target: np.ndarray, ridge: float, top: int) -> np.ndarray:
+def _top_weights(matrix: np.ndarray, target: np.ndarray, ridge: float, top: int) -> np.ndarray:
     """Weights with all but the ``top`` largest features left out and refitted."""
-    d = len(target)
-    full = _solve(upper, target, ridge)
-    keep = np.sort(np.argsort(-np.abs(full[:-1]), kind="stable")[:top])
-    square = np.zeros((d, d))
-    square[np.triu_indices(d)] = upper
-    rows = np.append(keep, d - 1)
-    small = square[np.ix_(rows, rows)]
-    out = np.zeros(d)
-    out[rows] = _solve(small[np.triu_indices(len(rows))], target[rows], ridge)
+    last = len(target) - 1
+    full = _ridge(matrix, target, ridge)
+    kept = np.append(np.sort(np.argsort(-np.abs(full[:last]), kind="stable")[:top]), last)
+    out = np.zeros(len(target))
+    out[kept] = _ridge(matrix[np.ix_(kept, kept)], target[kept], ridge)
     return out
 
 
+def _block_sums(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start of every row's run of copies, and the weighted sums of each run.
+
+    The first run may continue the last one of the batch before.
+    """
+    n = batch.num_rows
+    noise = batch.column("noise").flatten().to_numpy().reshape(n, -1)
+    x = np.hstack([noise, np.ones((n, 1))])
+    wx = x * batch.column("weight").to_numpy()[:, None]
+    starts = np.flatnonzero(batch.column("copy").to_numpy() == 0)
+    if len(starts) == 0 or starts[0] != 0:
+        starts = np.insert(starts, 0, 0)
+    matrix = np.stack([np.add.reduceat(wx * x[:, [j]], starts) for j in range(x.shape[1])], axis=2)
+    target = np.add.reduceat(wx * batch.column("probability").to_numpy()[:, None], starts)
+    return starts, matrix, target
+
+
 def local_surrogate(
     model: PipelineModel,
     df: DataFrame,
@@ -99,31 +109,51 @@ def local_surrogate(
     key: str = KEY,
     seed: int = 42,
 ) -> DataFrame:
-    """(key, feature, weight, intercept): the ``top`` local weights of every row."""
+    """(key, feature, weight, intercept): the ``top`` local weights of every row.
+
+    All copies of a row follow each other in one partition, so their sums are
+    closed as the scored copies stream by: nothing is shuffled and a task
+    holds one Arrow batch.
+    """
     names = list(features)
-    scored = score(model, perturbations(df, names, samples, key, seed))
-    terms = [F.col(f"z_{i}") for i in range(len(names))] + [F.lit(1.0)]
-    w, p = F.col("weight"), F.col("probability")
-    pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
-    sums = scored.groupBy(key).agg(
-        *[F.sum(w * terms[i] * terms[j]).alias(f"a_{i}_{j}") for i, j in pairs],
-        *[F.sum(w * p * t).alias(f"b_{i}") for i, t in enumerate(terms)],
-    )
-    packed = sums.select(
-        key,
-        F.array(*[f"a_{i}_{j}" for i, j in pairs]).alias("a"),
-        F.array(*[f"b_{i}" for i in range(len(terms))]).alias("b"),
+    scored = score(model, perturbations(df, names, samples, key, seed)).select(
+        key, "copy", "weight", "probability", F.array(*[f"z_{i}" for i in range(len(names))]).alias("noise")
     )
+    kind = scored.schema[key].dataType
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [
-                _chosen(np.asarray(a), np.asarray(b), ridge, top) for a, b in zip(batch["a"], batch["b"])
-            ]
-            yield batch[[key]].assign(weights=made)
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = held_type = None
+
+        def closed(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k for k, _, _ in rows], held_type),
+                    pa.array([_top_weights(m, t, ridge, top).tolist() for _, m, t in rows], pa.list_(pa.float64())),
+                ],
+                [key, "weights"],
+            )
 
-    kind = dict(packed.dtypes)[key]
-    solved = packed.mapInPandas(solve, f"{key} {kind}, weights array<double>")
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            held_type = batch.schema.field(key).type
+            starts, matrix, target = _block_sums(batch)
+            keys = batch.column(key).take(pa.array(starts)).to_pylist()
+            runs = [list(run) for run in zip(keys, matrix, target)]
+            if held is not None:
+                if batch.column("copy")[0].as_py() != 0:
+                    runs[0][1] = runs[0][1] + held[1]
+                    runs[0][2] = runs[0][2] + held[2]
+                else:
+                    runs.insert(0, held)
+            held = runs.pop()
+            if runs:
+                yield closed(runs)
+        if held is not None:
+            yield closed([held])
+
+    out = T.StructType([T.StructField(key, kind), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    solved = scored.mapInArrow(solve, out)
     rows = F.array(
         *[
             F.struct(F.lit(n).alias("feature"), F.get("weights", F.lit(i)).alias("weight"))

@@ -10,8 +10,20 @@ from pyspark.sql import functions as F
 
 from sieveline import settings as S
 from sieveline.operators.features import base_amounts, feature_table, sector_code, with_ratios
+from sieveline.operators.contributions import row_contributions, top_contributions
+from sieveline.operators.guardrails import recommendations
 from sieveline.operators.labeling import label_companies
-from sieveline.operators.models import score
+from sieveline.operators.metrics import auc, confusion, confusion_metrics, hard_metrics
+from sieveline.operators.models import (
+    TrainedScorer,
+    importance_table,
+    prediction_table,
+    score,
+    train_scorer,
+    training_rows,
+    with_prediction,
+)
+from sieveline.operators.report import model_summary, report_json
 from sieveline.operators.reshape import (
     aggregate_years,
     attach_sector,
@@ -20,6 +32,9 @@ from sieveline.operators.reshape import (
     drop_sparse,
 )
 from sieveline.operators.screening import flat_decisions, screen, with_model_confidence
+from sieveline.operators.summaries import confidence_histogram, dataset_summary, prediction_statistics
+from sieveline.sources.readers import labeled_features
+from sieveline.sources.staging import stage
 
 
 def companies_from_statements(
@@ -98,6 +113,63 @@ def hybrid_screen(
     return with_model_confidence(score(model, coded), "probability", importance).select(*kept)
 
 
+def train_and_evaluate(
+    labels: DataFrame,
+    features: DataFrame,
+    params: S.BoostParams = S.SCORER_MODEL,
+    key: str = "symbol",
+    **options,
+) -> TrainedScorer:
+    """Join labels and features, then split, train, pick the threshold and measure."""
+    joined, inputs = labeled_features(labels, features)
+    rows = training_rows(joined, inputs, "shariah_compliant", key)
+    return train_scorer(rows, inputs, params, **options)
+
+
+def explain_predictions(
+    model: PipelineModel, rows: DataFrame, features: Sequence[str], key: str, top: int = 10
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(predictions, top reasons per row, importance) of one model."""
+    predictions = prediction_table(score(model, rows), key)
+    reasons = top_contributions(row_contributions(model, rows, features, key), key, top)
+    return predictions, reasons, importance_table(rows.sparkSession, model, features)
+
+
+def technical_report(
+    model: PipelineModel,
+    params: S.BoostParams,
+    rows: DataFrame,
+    features: Sequence[str],
+    key: str,
+    threshold: float = 0.5,
+) -> DataFrame:
+    """One JSON document: model, metrics, predictions, importance, data, advice.
+
+    The predictions are staged once; every section is a small aggregate of them.
+    """
+    spark = rows.sparkSession
+    predicted = stage(with_prediction(score(model, rows), threshold), "predicted")
+    counts = stage(confusion(predicted), "counts")
+    headline = hard_metrics(counts, ("accuracy",)).withColumns(
+        {
+            "auc": auc(predicted).scalar(),
+            "compliant_share": predicted.agg(F.avg(F.col("prediction").cast("double"))).scalar(),
+        }
+    )
+    return report_json(
+        spark,
+        {
+            "model_summary": model_summary(spark, params, features, hard_metrics(counts), threshold),
+            "confusion_matrix": confusion_metrics(counts),
+            "prediction_statistics": prediction_statistics(predicted, "prediction"),
+            "confidence_distribution": confidence_histogram(predicted),
+            "feature_importance": importance_table(spark, model, features),
+            "data": dataset_summary(rows, "training rows", key),
+            "recommendations": recommendations(headline),
+        },
+    )
+
+
 def portfolio_summary(predictions: DataFrame, prediction: str = "predicted_compliant") -> DataFrame:
     """Permit and reject counts with their shares."""
     p, n = F.col(prediction), F.count("*")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import types as T
 
 from sieveline import settings as S
+from sieveline.functions.expressions import plain_account_py
 
 
 def statement_schema(years: Sequence[str] = S.STATEMENT_YEARS) -> T.StructType:
@@ -15,6 +16,12 @@ def statement_schema(years: Sequence[str] = S.STATEMENT_YEARS) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def processed_schema(accounts: Sequence[str]) -> T.StructType:
+    """Wide companies: symbol and one amount per account."""
+    amounts = [T.StructField(plain_account_py(a), T.DoubleType()) for a in accounts]
+    return T.StructType([T.StructField("symbol", T.StringType()), *amounts])
+
+
 SECTOR_MAP = T.StructType(
     [T.StructField("symbol", T.StringType()), T.StructField("sector", T.StringType())]
 )

@@ -48,6 +48,13 @@ def read_statements(
     return read_table(spark, path, schemas.statement_schema(years), fmt)
 
 
+def read_processed(
+    spark: SparkSession, path: str, accounts: Sequence[str], fmt: str = "csv"
+) -> DataFrame:
+    """Wide companies: symbol and one amount per account."""
+    return read_table(spark, path, schemas.processed_schema(accounts), fmt)
+
+
 def read_features(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return read_table(spark, path, schemas.FEATURES, fmt)
 

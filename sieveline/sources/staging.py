@@ -41,6 +41,16 @@ def stage(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core, for work that is heavy per row.
+
+    A small staged table has few files and would keep most cores idle. A table
+    that already has enough partitions is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def clear_staging(spark: SparkSession) -> None:
     """Delete the tables this application has staged. Call when a job ends."""
     jvm = spark.sparkContext._jvm

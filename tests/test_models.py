@@ -1,3 +1,4 @@
+import json
 from itertools import combinations
 from math import factorial
 
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline import settings as S
+from sieveline.catalog import model_queries
 from sieveline.operators import contributions as C
 from sieveline.operators import ensembles as E
 from sieveline.operators import models as L
@@ -14,6 +16,8 @@ from sieveline.operators import surrogate as U
 from sieveline.operators import tuning as T
 from sieveline.operators import validation as V
 from sieveline.operators.report import report_json
+from sieveline.plans import jobs
+from sieveline.plans.star_schema import companies
 
 FEATURES = ("a", "b", "c")
 PARAMS = S.BoostParams(trees=4, depth=3, learning_rate=0.3)
@@ -191,3 +195,28 @@ def test_report_document(spark):
     small = spark.createDataFrame([(1, None)], "x int, y double")
     text = report_json(spark, {"one": small}).first().document
     assert text == '{"one":[{"x":1,"y":null}]}'
+
+
+def test_training_and_explaining_as_jobs(spark, data):
+    labels = data.selectExpr("cast(company_id as string) symbol", "label AS shariah_compliant")
+    features = data.selectExpr("cast(company_id as string) symbol", *FEATURES)
+    trained = jobs.train_and_evaluate(labels, features, PARAMS, cv_folds=2)
+    assert trained.features == FEATURES and trained.test_metrics.first().accuracy > 0.7
+    predictions, reasons, importance = jobs.explain_predictions(trained.model, data, FEATURES, L.KEY, top=2)
+    assert predictions.count() == 300 and reasons.count() == 600 and importance.count() == 3
+    row = predictions.first()
+    assert row.compliance_probability + row.non_compliance_probability == pytest.approx(1.0)
+    text = jobs.technical_report(trained.model, PARAMS, data, FEATURES, L.KEY).first().document
+    report = json.loads(text)
+    assert report["data"][0]["n_rows"] == 300 and len(report["feature_importance"]) == 3
+
+
+def test_hybrid_screen_scores_edges_only(spark, sf_dir):
+    portfolio = companies(spark, sf_dir).withColumnRenamed("symbol", "ticker").drop("company_id")
+    rows = model_queries.rows(spark, sf_dir)
+    model = L.fit(rows, S.MODEL_FEATURES, S.BoostParams(trees=2, depth=2))
+    got = jobs.hybrid_screen(portfolio, model, [("roa", 0.5)]).toPandas()
+    assert len(got) == portfolio.count()
+    edges = got.status == "EDGE_CASE"
+    assert edges.any() and got[edges].ml_score.notna().all() and got[~edges].ml_score.isna().all()
+    assert np.allclose(got[edges].final_confidence, 0.5 + 0.5 * got[edges].ml_score)
