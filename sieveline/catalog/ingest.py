@@ -20,7 +20,7 @@ from sieveline.operators import reshape as R
 from sieveline.operators.summaries import dataset_summary
 from sieveline.plans.star_schema import ACCOUNTS, STATEMENT_YEARS, companies, sector_map, statements, table
 from sieveline.sources import readers, writers
-from sieveline.sources.staging import staged_path
+from sieveline.sources.staging import stage, staged_path
 
 # The account names of the test tables under canonical names.
 ALIASES = {
@@ -120,6 +120,11 @@ def statement_latest_by_account(spark, sf_dir):
     return _wide(spark, sf_dir, "latest")
 
 
+def _accounts(spark, sf_dir):
+    """One mean value per company and account, staged: its readers pass over it more than once."""
+    return stage(R.company_accounts(R.aggregate_years(statements(spark, sf_dir), STATEMENT_YEARS)), "accounts")
+
+
 @query(
     "sparse_company_filter",
     with_sql(
@@ -131,7 +136,7 @@ GROUP BY symbol, known HAVING (known - count(*)) / (known + 1) < 0.5""",
     ),
 )
 def sparse_company_filter(spark, sf_dir):
-    accounts = R.company_accounts(R.aggregate_years(statements(spark, sf_dir), STATEMENT_YEARS))
+    accounts = _accounts(spark, sf_dir)
     return R.drop_sparse(accounts, 0.5).withColumn("null_share", F.round("null_share", 9))
 
 
@@ -160,7 +165,7 @@ GROUP BY 1""",
     ),
 )
 def critical_account_check(spark, sf_dir):
-    accounts = R.company_accounts(R.aggregate_years(statements(spark, sf_dir), STATEMENT_YEARS))
+    accounts = _accounts(spark, sf_dir)
     return R.critical_accounts(accounts.select("account"), CRITICAL)
 
 
@@ -180,7 +185,7 @@ choice AS (
 
 @query("account_alias_choice", with_sql(SQL_ALIASES, "SELECT canonical, account, priority FROM choice"))
 def account_alias_choice(spark, sf_dir):
-    accounts = R.company_accounts(R.aggregate_years(statements(spark, sf_dir), STATEMENT_YEARS))
+    accounts = _accounts(spark, sf_dir)
     return R.alias_choice(accounts, ALIASES)
 
 
@@ -195,7 +200,7 @@ _CANONICAL = ",\n  ".join(f"round(max(value) FILTER (canonical = '{c}'), 3) AS \
     ),
 )
 def canonical_amounts(spark, sf_dir):
-    accounts = R.company_accounts(R.aggregate_years(statements(spark, sf_dir), STATEMENT_YEARS))
+    accounts = _accounts(spark, sf_dir)
     wide = R.canonical_amounts(accounts, ALIASES)
     return wide.select("symbol", *[F.round(f"`{c}`", 3).alias(c) for c in ALIASES])
 
@@ -234,6 +239,13 @@ def feature_parquet_round_trip(spark, sf_dir):
     )
 
 
+@query("processed_csv_round_trip", _wide_sql("avg(value)"))
+def processed_csv_round_trip(spark, sf_dir):
+    path = staged_path(spark, "processed-csv")
+    writers.write_table(_wide(spark, sf_dir, "mean"), path, "csv")
+    return readers.read_processed(spark, path, ACCOUNTS)
+
+
 @query(
     "pruned_first_rows",
     """SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_custkey LIMIT 10""",

@@ -45,7 +45,8 @@ def _rounded(df, digits=9, skip=()):
     with_sql(
         SQL_SCORED,
         """SELECT symbol, label AS shariah_compliant, prediction AS predicted_compliant,
-  probability AS compliance_probability, 1 - probability AS non_compliance_probability, confidence, CAST(label = prediction AS INTEGER) AS prediction_correct
+  probability AS compliance_probability, 1 - probability AS non_compliance_probability,
+  confidence, CAST(label = prediction AS INTEGER) AS prediction_correct
 FROM scored""",
     ),
 )
@@ -205,8 +206,8 @@ def class_report(spark, sf_dir):
     return M.class_report(M.confusion(scored(spark, sf_dir)))
 
 
-_LOSS = """round(-avg(label * ln(greatest(least(probability, 1 - 2.220446049250313e-16::DOUBLE), 2.220446049250313e-16::DOUBLE))
-    + (1 - label) * ln(1 - greatest(least(probability, 1 - 2.220446049250313e-16::DOUBLE), 2.220446049250313e-16::DOUBLE))), 9)"""
+_SAFE = "greatest(least(probability, 1 - 2.220446049250313e-16::DOUBLE), 2.220446049250313e-16::DOUBLE)"
+_LOSS = f"round(-avg(label * ln({_SAFE}) + (1 - label) * ln(1 - {_SAFE})), 9)"
 
 
 @query(
@@ -513,7 +514,10 @@ blends AS (
     / nullif(count(*) FILTER (hit) + count(*) FILTER (label = 1), 0), 0), 9) AS f1 FROM hits GROUP BY ALL)"""
 
 
-@query("blend_weight_table", with_sql(SQL_BLEND, "SELECT CAST(candidate AS INTEGER) AS candidate, w1, w2, w3, f1 FROM blends"))
+@query(
+    "blend_weight_table",
+    with_sql(SQL_BLEND, "SELECT CAST(candidate AS INTEGER) AS candidate, w1, w2, w3, f1 FROM blends"),
+)
 def blend_weight_table(spark, sf_dir):
     table = T.blend_scores(three_scores(spark, sf_dir), ["p1", "p2", "p3"])
     return table.select("candidate", "w1", "w2", "w3", F.round("f1", 9).alias("f1"))

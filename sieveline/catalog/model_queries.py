@@ -94,14 +94,33 @@ def feature_importance(spark, sf_dir):
     return L.importance_table(spark, L.fit(data, FEATURES, SMALL), FEATURES, top=15)
 
 
-@query("model_round_trip")
+@query("model_round_trip", "SELECT c_custkey AS company_id, 1 AS same, 1 AS in_range FROM customer")
 def model_round_trip(spark, sf_dir):
     data = rows(spark, sf_dir)
     model = L.fit(data, FEATURES, SMALL)
     path = staged_path(spark, "model")
     L.save_model(model, path)
     both = L.score(L.load_model(path), L.score(model, data, "before"), "after")
-    return both.select(L.KEY, "before", "after", (F.col("before") == F.col("after")).alias("same"))
+    return both.select(
+        L.KEY,
+        (F.col("before") == F.col("after")).cast("int").alias("same"),
+        F.col("after").between(0, 1).cast("int").alias("in_range"),
+    )
+
+
+@query(
+    "out_of_fold_coverage",
+    with_sql(
+        SQL_LABELS,
+        """SELECT company_id, shariah_compliant AS label,
+  CAST(floor(CAST(('0x' || substr(md5(CAST(company_id AS VARCHAR) || '|42'), 1, 8))::BIGINT AS DOUBLE)
+    / 4294967296 * 3) AS INTEGER) AS fold, 1 AS in_range FROM labels""",
+    ),
+)
+def out_of_fold_coverage(spark, sf_dir):
+    """Every row is scored once, by a model that did not see its fold."""
+    held_out = L.fold_predictions(rows(spark, sf_dir), FEATURES, SMALL, 3)
+    return held_out.select(L.KEY, L.LABEL, "fold", F.col("probability").between(0, 1).cast("int").alias("in_range"))
 
 
 @query("nested_cross_validation")
@@ -205,6 +224,38 @@ def global_contributions(spark, sf_dir):
     return C.global_contributions(C.feature_contributions(_explained(spark, sf_dir)[0]))
 
 
+@query("contribution_additivity", "SELECT c_custkey AS company_id, 19 AS n_features, 1 AS adds_up FROM customer")
+def contribution_additivity(spark, sf_dir):
+    """Base plus contributions is the margin, 0.5 ln(p / (1 - p))."""
+    explained, model, data = _explained(spark, sf_dir)
+    base = C.base_value(C.tree_leaves(model, data))
+    total = F.aggregate("reasons", F.lit(base), lambda acc, r: acc + r["contribution"])
+    sums = explained.select(L.KEY, total.alias("margin"), F.size("reasons").alias("n_features"))
+    both = L.score(model, data).join(sums, L.KEY)
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("margin")))
+    return both.select(
+        L.KEY, "n_features", (F.abs(p - F.col("probability")) < 1e-9).cast("int").alias("adds_up")
+    )
+
+
+@query(
+    "vote_consistency",
+    "SELECT c_custkey AS company_id, 1 AS is_mean, 1 AS class_follows FROM customer",
+)
+def vote_consistency(spark, sf_dir):
+    """A soft vote is the mean of its members and its class the cut at one half."""
+    data = rows(spark, sf_dir)
+    voted = E.fit_voting(data, FEATURES, SMALL_PRESETS).predict(data)
+    names = E.probability_columns(SMALL_PRESETS)
+    mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
+    follows = (F.col("probability") >= 0.5).cast("int") == F.col("prediction")
+    return voted.select(
+        L.KEY,
+        (F.abs(mean - F.col("probability")) < 1e-9).cast("int").alias("is_mean"),
+        follows.cast("int").alias("class_follows"),
+    )
+
+
 @query("local_surrogate")
 def surrogate(spark, sf_dir):
     data = rows(spark, sf_dir)

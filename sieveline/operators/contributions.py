@@ -172,7 +172,12 @@ def top_contributions(rows: DataFrame, key: str = KEY, top: int = 10) -> DataFra
     Sorted inside the row's own array, so nothing is shuffled.
     """
     ordered = F.array_sort(
-        F.transform("reasons", lambda r: F.struct((-F.abs(r["contribution"])).alias("order"), r["feature"].alias("feature"), r.alias("r")))
+        F.transform(
+            "reasons",
+            lambda r: F.struct(
+                (-F.abs(r["contribution"])).alias("order"), r["feature"].alias("feature"), r.alias("r")
+            ),
+        )
     )
     picked = rows.select(key, F.posexplode(F.slice(ordered, 1, top)).alias("position", "o"))
     direction = F.when(F.col("o.r.contribution") > 0, "compliant").otherwise("non_compliant")

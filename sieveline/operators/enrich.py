@@ -164,7 +164,8 @@ def with_risk_quantile(df: DataFrame) -> DataFrame:
         return ranked.withColumn("risk_quantile", _or_zero(F.col("risk_quantile")))
     weights = {"debt_to_assets": 0.4, "nonhalal_revenue_percent": 0.4, "riba_intensity": 0.2}
     for c in weights:
-        df = with_percent_rank(df, c, f"_rank_{c}")
+        # Staged, because every lookup reads its input twice.
+        df = stage(with_percent_rank(df, c, f"_rank_{c}"), "ranked")
     blend = sum((F.lit(w) * F.col(f"_rank_{c}") for c, w in weights.items()), F.lit(0.0))
     return df.withColumn("risk_quantile", _or_zero(blend)).drop(*[f"_rank_{c}" for c in weights])
 

@@ -108,32 +108,108 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.unpivot([], list(columns), "feature", "value").where(F.col("value").isNotNull())
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
-    """(feature, share, quantile) with linear interpolation between neighbours.
-
-    Exact, and never holds a column in one task: positions are found in the
-    running counts of the distinct values.
-    """
-    ranked = running_counts(long_values(df, columns), "value", by=["feature"])
-    grid = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
-    spot = F.col("share") * (F.col("n_total") - 1)
+def _pick(ranked: DataFrame, by: Sequence[str], before: Column, total: Column) -> DataFrame:
+    """Interpolate at ``share`` of ``total`` rows; ``before`` counts the rows below a value."""
+    spot = F.col("share") * (total - 1)
     low, high = F.floor(spot), F.ceil(spot)
-    after = F.col("n_before") + F.col("n")
+    after = before + F.col("n")
 
     def holds(at: Column) -> Column:
-        return (F.col("n_before") <= at) & (at < after)
+        return (before <= at) & (at < after)
+
+    ends = (
+        ranked.where(holds(low) | holds(high))
+        .groupBy(*by)
+        .agg(
+            F.max(F.when(holds(low), F.col("value"))).alias("lo"),
+            F.max(F.when(holds(high), F.col("value"))).alias("hi"),
+            F.max(spot - low).alias("part"),
+        )
+    )
+    value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")
+    return ends.select(*by, value.alias("quantile"))
+
 
-    hits = ranked.select("*", grid).where(holds(low) | holds(high))
-    ends = hits.groupBy("feature", "share").agg(
-        F.max(F.when(holds(low), F.col("value"))).alias("lo"),
-        F.max(F.when(holds(high), F.col("value"))).alias("hi"),
-        F.max(spot - low).alias("part"),
+def _all_quantiles(long: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """Rank every distinct value."""
+    ranked = running_counts(long, "value", by=["feature"])
+    grid = F.explode(F.array(*[F.lit(s) for s in shares])).alias("share")
+    return _pick(
+        ranked.select("*", grid), ["feature", "share"], F.col("n_before"), F.col("n_total")
+    )
+
+
+def _bracketed_quantiles(long: DataFrame, shares: Sequence[float], accuracy: int) -> DataFrame:
+    """Rank only the values between two sketched neighbours of each quantile.
+
+    The sketch gives bounds a few ranks in ``accuracy`` apart. Rows below a
+    bound are counted, rows between the bounds are ranked.
+    """
+    slack = 4.0 / accuracy
+    ends = [e for s in shares for e in (max(s - slack, 0.0), min(s + slack, 1.0))]
+    sketch = long.groupBy("feature").agg(F.percentile_approx("value", ends, accuracy).alias("_ends"))
+    brackets = [
+        F.struct(
+            F.lit(s).alias("share"),
+            (F.lit(float("-inf")) if s <= slack else F.get("_ends", F.lit(2 * i))).alias("lo"),
+            (F.lit(float("inf")) if s >= 1.0 - slack else F.get("_ends", F.lit(2 * i + 1))).alias("hi"),
+        )
+        for i, s in enumerate(shares)
+    ]
+    # One row per column.
+    bounds = stage(sketch.select("feature", F.array(*brackets).alias("brackets")), "quantile-bounds")
+    placed = long.join(F.broadcast(bounds), "feature")
+    below = placed.groupBy("feature").agg(
+        F.count("*").alias("_total"),
+        *[
+            F.count_if(F.col("value") < F.get("brackets", F.lit(i))["lo"]).alias(f"_below_{i}")
+            for i in range(len(shares))
+        ],
     )
-    return ends.select(
+    counts = below.select(
         "feature",
-        "share",
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("quantile"),
+        "_total",
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(s).alias("share"), F.col(f"_below_{i}").alias("_below"))
+                    for i, s in enumerate(shares)
+                ]
+            )
+        ),
+    )
+    near = F.filter("brackets", lambda b: (F.col("value") >= b["lo"]) & (F.col("value") <= b["hi"]))
+    inside = placed.select("feature", "value", F.explode(near).alias("_b")).select(
+        "feature", "value", F.col("_b.share").alias("share")
     )
+    ranked = running_counts(inside, "value", by=["feature", "share"])
+    # One row per column and share.
+    joined = ranked.join(F.broadcast(counts), ["feature", "share"])
+    return _pick(joined, ["feature", "share"], F.col("_below") + F.col("n_before"), F.col("_total"))
+
+
+def exact_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    shares: Sequence[float],
+    accuracy: int = 10000,
+    rank_all_below: int = 1_000_000,
+) -> DataFrame:
+    """(feature, share, quantile) with linear interpolation between neighbours.
+
+    Exact, and never holds a column in one task. Small tables are ranked as a
+    whole. On larger ones a sketch bounds every quantile and only the values
+    between the bounds are ranked; should a bound miss, the whole table is.
+    """
+    shares = [float(s) for s in shares]
+    long = long_values(df, columns)
+    if df.count() < max(rank_all_below, accuracy):
+        return _all_quantiles(long, shares)
+    found = stage(_bracketed_quantiles(long, shares, accuracy), "quantiles")
+    filled = long.groupBy("feature").agg(F.count("*").alias("n")).count()
+    if found.where(F.col("quantile").isNotNull()).count() == filled * len(shares):
+        return found
+    return _all_quantiles(long, shares)
 
 
 def equal_width_histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

@@ -206,11 +206,10 @@ def canonical_amounts(
     return chosen.groupBy("symbol").pivot("canonical", list(aliases)).agg(F.first("value"))
 
 
-def statement_profile(statements: DataFrame) -> DataFrame:
-    """Row count and number of distinct companies."""
-    return statements.agg(
-        F.count("*").alias("n_rows"), F.count_distinct("symbol").alias("n_companies")
-    )
+def statement_profile(statements: DataFrame, approximate: bool = False) -> DataFrame:
+    """Row count and number of distinct companies, the latter from a sketch if approximate."""
+    distinct = F.approx_count_distinct("symbol") if approximate else F.count_distinct("symbol")
+    return statements.agg(F.count("*").alias("n_rows"), distinct.alias("n_companies"))
 
 
 def attach_sector(companies: DataFrame, sectors: DataFrame, default: str = S.DEFAULT_SECTOR) -> DataFrame:

@@ -8,13 +8,16 @@ class at its own rank instead.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.expressions import unit_hash
 from sieveline.operators.ranking import running_counts
 from sieveline.sources.staging import stage
 
+# Hash intervals in which a class is counted before it is ranked.
+INTERVALS = 4096
+
 
 def with_split(
     df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, name: str = "is_test"
@@ -28,16 +31,30 @@ def with_exact_split(
 ) -> DataFrame:
     """Like :func:`with_split` with exactly the rounded share of every class.
 
-    The cut is the hash value at that rank of the class; one row per class is
-    joined back.
+    Each class is cut at one hash value. Counts per class and hash interval
+    show in which interval that value lies, and only the rows of that interval
+    are ranked.
     """
     hashed = df.withColumn("_u", unit_hash(key, seed))
-    ranked = running_counts(hashed, "_u", by=[label])
-    quota = F.round(F.col("n_total") * F.lit(test_size))
-    cuts = (
-        ranked.where(F.col("n_before") < quota).groupBy(label).agg(F.max("_u").alias("_cut"))
+    placed = hashed.withColumn("_slot", F.floor(F.col("_u") * INTERVALS).cast("int"))
+    sizes = placed.groupBy(label, "_slot").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(label).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    spans = sizes.select(
+        label,
+        "_slot",
+        "n",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"),
+        F.round(F.sum("n").over(Window.partitionBy(label)) * F.lit(test_size)).alias("_quota"),
+    )
+    holds = (F.col("_before") < F.col("_quota")) & (F.col("_quota") <= F.col("_before") + F.col("n"))
+    cuts = stage(
+        spans.where(holds).select(label, "_slot", (F.col("_quota") - F.col("_before")).alias("_left")),
+        "split-intervals",
     )
-    joined = hashed.join(stage(cuts, "split-cuts"), label, "left")
+    inside = placed.select(label, "_slot", "_u").join(cuts.select(label, "_slot"), [label, "_slot"])
+    ranked = running_counts(inside, "_u", by=[label]).join(cuts, label)
+    last = ranked.where(F.col("n_before") < F.col("_left")).groupBy(label).agg(F.max("_u").alias("_cut"))
+    joined = hashed.join(stage(last, "split-cuts"), label, "left")
     return joined.withColumn(name, F.coalesce(F.col("_u") <= F.col("_cut"), F.lit(False))).drop("_u", "_cut")
 
 

@@ -1,4 +1,4 @@
-"""The screening jobs, each one lazy plan from input to result."""
+"""The screening jobs from input to result."""
 
 from __future__ import annotations
 
@@ -46,10 +46,11 @@ def companies_from_statements(
 ) -> DataFrame:
     """Long statements to one row per company with the canonical amounts.
 
-    Companies that lack too many accounts are dropped on the fact table, and
-    only the accounts some alias names are pivoted.
+    The raw statements are read once, into a staged table of one value per
+    company and account. Companies that lack too many accounts are dropped on
+    that table, and only the accounts some alias names are pivoted.
     """
-    accounts = company_accounts(aggregate_years(statements, years, method))
+    accounts = stage(company_accounts(aggregate_years(statements, years, method)), "accounts")
     kept = drop_sparse(accounts, null_threshold).select("symbol")
     return canonical_amounts(accounts.join(kept, "symbol", "left_semi"), aliases)
 

@@ -140,6 +140,22 @@ def test_exact_quantiles(many_partitions):
             assert got[(name, share)] == pytest.approx(np.quantile(values, share))
 
 
+@pytest.mark.parametrize("accuracy", [50, 200])
+def test_bracketed_quantiles_are_exact(many_partitions, accuracy):
+    spark = many_partitions
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=3000)
+    b = np.where(np.arange(3000) % 3 == 0, 0.5, rng.random(3000))
+    shares = [0.0, 0.25, 0.5, 0.77, 1.0]
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    found = exact_quantiles(df, ["a", "b"], shares, accuracy, rank_all_below=0)
+    got = {(r.feature, r.share): r["quantile"] for r in found.collect()}
+    assert len(got) == 10
+    for name, values in (("a", a), ("b", b)):
+        for share in shares:
+            assert got[(name, share)] == pytest.approx(np.quantile(values, share))
+
+
 def test_describe_matches_pandas(spark):
     values = [1.0, 2.0, 2.0, 7.5, None]
     df = spark.createDataFrame([(v,) for v in values], "x double")
