@@ -306,12 +306,12 @@ def labels_with_features(spark, sf_dir):
     "dataset_summary",
     with_sql(
         SQL_STATEMENTS,
-        """SELECT 'statements' AS dataset, count(*) AS n_rows, 7 AS n_columns, count(DISTINCT symbol) AS n_companies
-FROM statements
+        """SELECT 'statements' AS dataset, count(*) AS n_rows, 7 AS n_columns, count(DISTINCT symbol) AS n_companies,
+  '1995-1998' AS period FROM statements
 UNION ALL
-SELECT 'features', count(*), 21, count(DISTINCT c_custkey) FROM customer
+SELECT 'features', count(*), 21, count(DISTINCT c_custkey), NULL FROM customer
 UNION ALL
-SELECT 'labels', count(*), 15, count(DISTINCT c_custkey) FROM customer""",
+SELECT 'labels', count(*), 15, count(DISTINCT c_custkey), NULL FROM customer""",
     ),
 )
 def datasets(spark, sf_dir):

@@ -26,7 +26,7 @@ from sieveline.operators import screening as D
 from sieveline.operators import summaries as A
 from sieveline.operators.labeling import RULE_FLAGS, label_companies, with_sector_rule
 from sieveline.operators.reshape import attach_sector
-from sieveline.plans.jobs import portfolio_summary, screen_portfolio
+from sieveline.plans.jobs import permit_decisions, portfolio_summary, screen_portfolio
 from sieveline.plans.star_schema import companies, sector_map, table
 from sieveline.sources.staging import stage
 
@@ -341,6 +341,18 @@ def portfolio_screening(spark, sf_dir):
     return screen_portfolio(with_p, SCREENING_RULES, probability="p")
 
 
+@query(
+    "portfolio_permits",
+    with_sql(
+        SQL_SCORED,
+        """SELECT symbol, CASE WHEN probability >= 0.5 THEN 'PERMIT' ELSE 'REJECT' END AS decision,
+  probability AS permit_probability, 1 - probability AS reject_probability FROM scored""",
+    ),
+)
+def portfolio_permits(spark, sf_dir):
+    return permit_decisions(scored(spark, sf_dir), ["symbol"])
+
+
 @query(
     "portfolio_summary",
     with_sql(
@@ -490,22 +502,30 @@ def metric_targets(spark, sf_dir):
     with_sql(
         SQL_SCORED,
         """, m AS (SELECT 100 * avg(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS acc,
-  100 * avg(prediction) AS share FROM scored)
+  100 * avg(prediction) AS share, (SELECT 100 * auc FROM (
+    SELECT (sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label))
+      AS auc FROM (SELECT label, rank() OVER (ORDER BY probability)
+        + (count(*) OVER (PARTITION BY probability) - 1) / 2.0 AS r FROM scored))) AS auc FROM scored)
 SELECT 'Performance' AS category,
   CASE WHEN acc >= 90 THEN 'EXCELLENT' WHEN acc >= 80 THEN 'GOOD' ELSE 'CAUTION' END AS status,
+  'Test accuracy of ' || printf('%.2f%%', acc) || CASE WHEN acc >= 90 THEN ' indicates excellent model performance'
+    WHEN acc >= 80 THEN ' is acceptable for production' ELSE ' may need improvement' END AS message,
   CASE WHEN acc >= 90 THEN 'Ready for production deployment' WHEN acc >= 80 THEN 'Monitor performance in production'
     ELSE 'Consider additional feature engineering or retraining' END AS action FROM m
-UNION ALL SELECT 'Confidence', 'HIGH', 'Predictions are highly reliable' FROM (
-  SELECT (sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label))
-    AS auc FROM (SELECT label, rank() OVER (ORDER BY probability)
-      + (count(*) OVER (PARTITION BY probability) - 1) / 2.0 AS r FROM scored)) WHERE auc >= 0.9
+UNION ALL SELECT 'Confidence', 'HIGH', 'High AUC score (' || printf('%.2f%%', auc)
+  || ') indicates strong discrimination ability', 'Predictions are highly reliable' FROM m WHERE auc >= 90
 UNION ALL SELECT 'Data Balance', CASE WHEN share BETWEEN 30 AND 70 THEN 'BALANCED' ELSE 'IMBALANCED' END,
+  CASE WHEN share BETWEEN 30 AND 70
+    THEN 'Compliant/Non-compliant distribution (' || printf('%.2f%%', share) || ') is reasonable'
+    ELSE 'Class distribution is skewed (' || printf('%.2f%%', share) || ')' END,
   CASE WHEN share BETWEEN 30 AND 70 THEN 'Model handles class distribution well'
     ELSE 'Monitor for potential bias in predictions' END FROM m
-UNION ALL SELECT 'Deployment', 'NOTE', 'Ensure data pipeline matches training configuration'
-UNION ALL SELECT 'Monitoring', 'NOTE', 'Alert if class distribution changes significantly'
-UNION ALL SELECT 'Updates', 'NOTE', 'Retrain annually or when new data is available'
-UNION ALL SELECT 'Features', 'NOTE', 'Ensure this feature is accurate in production data'""",
+UNION ALL SELECT 'Deployment', 'NOTE', 'Model requires 2 input features with proper scaling',
+  'Ensure data pipeline matches training configuration'
+UNION ALL SELECT 'Monitoring', 'NOTE', 'Track prediction distribution in production',
+  'Alert if class distribution changes significantly'
+UNION ALL SELECT 'Updates', 'NOTE', 'Model trained on data from 1995-1998',
+  'Retrain annually or when new data is available'""",
     ).replace("\n, m AS", ",\nm AS"),
 )
 def deployment_recommendations(spark, sf_dir):
@@ -513,4 +533,4 @@ def deployment_recommendations(spark, sf_dir):
     accuracy = M.hard_metrics(M.confusion(data), ("accuracy",)).scalar()
     share = data.agg(F.avg(F.col("prediction").cast("double"))).scalar()
     row = M.auc(data).withColumns({"accuracy": accuracy, "compliant_share": share})
-    return G.recommendations(row).select("category", "status", "action")
+    return G.recommendations(row, n_features=2, period="1995-1998")

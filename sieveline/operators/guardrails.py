@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.expressions import any_of
-from sieveline.settings import METRIC_TARGETS, DeploymentGuardrails, Guardrails
+from sieveline.settings import (
+    METRIC_TARGETS,
+    MODEL_FEATURES,
+    STATEMENT_YEARS,
+    DeploymentGuardrails,
+    Guardrails,
+)
 
 
 def _banned(sectors: tuple[str, ...], sector: str) -> Column:
@@ -105,59 +111,101 @@ def check_targets(metrics: DataFrame, targets: Mapping[str, float] = METRIC_TARG
     return with_target.withColumn("met", F.coalesce(F.col("value") >= F.col("target"), F.lit(False)))
 
 
-def recommendations(metrics: DataFrame) -> DataFrame:
+# --- fixed values: advice texts, (status, message, action) ----------------------
+ADVICE = {
+    "excellent": (
+        "EXCELLENT",
+        "Test accuracy of %.2f%% indicates excellent model performance",
+        "Ready for production deployment",
+    ),
+    "good": (
+        "GOOD",
+        "Test accuracy of %.2f%% is acceptable for production",
+        "Monitor performance in production",
+    ),
+    "caution": (
+        "CAUTION",
+        "Test accuracy of %.2f%% may need improvement",
+        "Consider additional feature engineering or retraining",
+    ),
+    "high": (
+        "HIGH",
+        "High AUC score (%.2f%%) indicates strong discrimination ability",
+        "Predictions are highly reliable",
+    ),
+    "balanced": (
+        "BALANCED",
+        "Compliant/Non-compliant distribution (%.2f%%) is reasonable",
+        "Model handles class distribution well",
+    ),
+    "imbalanced": (
+        "IMBALANCED",
+        "Class distribution is skewed (%.2f%%)",
+        "Monitor for potential bias in predictions",
+    ),
+}
+
+
+def recommendations(
+    metrics: DataFrame,
+    n_features: int = len(MODEL_FEATURES),
+    period: str = f"{STATEMENT_YEARS[0]}-{STATEMENT_YEARS[-1]}",
+    top_feature: tuple[str, float] | None = None,
+) -> DataFrame:
     """Deployment advice from ``accuracy``, ``auc`` and ``compliant_share``.
 
     One input row of fractions gives one output row per recommendation.
+    ``top_feature`` is a name with its importance share.
     """
-    accuracy, auc = F.col("accuracy") * 100, F.col("auc") * 100
-    share = F.col("compliant_share") * 100
+    accuracy, auc, share = (F.col(c) * 100 for c in ("accuracy", "auc", "compliant_share"))
 
-    def text(before: str, value: Column, after: str) -> Column:
-        return F.concat(F.lit(before), F.format_string("%.2f%%", value), F.lit(after))
+    def advice(category: str, kind: str, value: Column) -> Column:
+        status, message, action = ADVICE[kind]
+        return F.struct(
+            F.lit(category).alias("category"),
+            F.lit(status).alias("status"),
+            F.format_string(message, value).alias("message"),
+            F.lit(action).alias("action"),
+        )
 
-    def advice(category: str, status: Column, message: Column, action: Column) -> Column:
+    def note(category: str, message: str, action: str) -> Column:
         return F.struct(
             F.lit(category).alias("category"),
-            status.alias("status"),
-            message.alias("message"),
-            action.alias("action"),
+            F.lit("NOTE").alias("status"),
+            F.lit(message).alias("message"),
+            F.lit(action).alias("action"),
         )
 
-    performance = advice(
-        "Performance",
-        F.when(accuracy >= 90, "EXCELLENT").when(accuracy >= 80, "GOOD").otherwise("CAUTION"),
-        text(
-            "Test accuracy of ",
-            accuracy,
-            "",
+    rows = [
+        F.when(accuracy >= 90, advice("Performance", "excellent", accuracy))
+        .when(accuracy >= 80, advice("Performance", "good", accuracy))
+        .otherwise(advice("Performance", "caution", accuracy)),
+        F.when(auc >= 90, advice("Confidence", "high", auc)),
+        F.when(share.between(30, 70), advice("Data Balance", "balanced", share)).otherwise(
+            advice("Data Balance", "imbalanced", share)
         ),
-        F.when(accuracy >= 90, "Ready for production deployment")
-        .when(accuracy >= 80, "Monitor performance in production")
-        .otherwise("Consider additional feature engineering or retraining"),
-    )
-    confidence = F.when(
-        auc >= 90,
-        advice("Confidence", F.lit("HIGH"), text("AUC score of ", auc, ""), F.lit("Predictions are highly reliable")),
-    )
-    balanced = share.between(30, 70)
-    balance = advice(
-        "Data Balance",
-        F.when(balanced, "BALANCED").otherwise("IMBALANCED"),
-        text("Compliant share of ", share, ""),
-        F.when(balanced, "Model handles class distribution well").otherwise(
-            "Monitor for potential bias in predictions"
+        note(
+            "Deployment",
+            f"Model requires {n_features} input features with proper scaling",
+            "Ensure data pipeline matches training configuration",
+        ),
+        note(
+            "Monitoring",
+            "Track prediction distribution in production",
+            "Alert if class distribution changes significantly",
+        ),
+        note(
+            "Updates",
+            f"Model trained on data from {period}",
+            "Retrain annually or when new data is available",
         ),
-    )
-    notes = [
-        advice("Deployment", F.lit("NOTE"), F.lit("Inputs need the training scale"),
-               F.lit("Ensure data pipeline matches training configuration")),
-        advice("Monitoring", F.lit("NOTE"), F.lit("Track prediction distribution in production"),
-               F.lit("Alert if class distribution changes significantly")),
-        advice("Updates", F.lit("NOTE"), F.lit("The model ages with its data"),
-               F.lit("Retrain annually or when new data is available")),
-        advice("Features", F.lit("NOTE"), F.lit("Watch the most important feature"),
-               F.lit("Ensure this feature is accurate in production data")),
     ]
-    rows = F.array_compact(F.array(performance, confidence, balance, *notes))
-    return metrics.select(F.inline(rows))
+    if top_feature:
+        rows.append(
+            note(
+                "Features",
+                f"{top_feature[0]} is the most important feature ({top_feature[1]:.2%})",
+                "Ensure this feature is accurate in production data",
+            )
+        )
+    return metrics.select(F.inline(F.array_compact(F.array(*rows))))

@@ -197,7 +197,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """(feature, share, quantile) with linear interpolation between neighbours.
 
-    Exact, and never holds a column in one task. Small tables are ranked as a
+    Exact, and never holds a column in one task. It passes over ``df`` several
+    times, so give it a stored or staged table. Small tables are ranked as a
     whole. On larger ones a sketch bounds every quantile and only the values
     between the bounds are ranked; should a bound miss, the whole table is.
     """

@@ -33,23 +33,39 @@ def first_value(value: str, ordinal: str) -> Column:
     return F.min_by(F.when(present, F.col(value)), F.when(present, F.col(ordinal)))
 
 
+def column_names(names: DataFrame, limit: int = 10000) -> list[str]:
+    """The distinct values of a one-column table, sorted, as future column names.
+
+    A schema has to be known when the plan is made, so the names come to the
+    driver; more than ``limit`` of them is an error.
+    """
+    found = [r[0] for r in names.distinct().limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} columns")
+    return sorted(found)
+
+
 def wide_by_year(
     statements: DataFrame,
-    accounts: Sequence[str],
+    accounts: Sequence[str] | None = None,
     years: Sequence[str] = S.STATEMENT_YEARS,
     ordinal: str = "type",
 ) -> DataFrame:
     """One column per account and year, first non-null value in ordinal order.
 
-    ``accounts`` are raw names. Statement type is not part of the column, so
-    equal names of two types collide and the smaller ordinal wins.
+    ``accounts`` are raw names; without them the columns are those that hold
+    any value. Statement type is not part of the column, so equal names of two
+    types collide and the smaller ordinal wins.
     """
-    clean = [re.sub("[^a-zA-Z0-9]", "_", a).strip("_") for a in accounts]
-    columns = sorted({f"{a}_{y}" for a in clean for y in years})
     cells = with_year_names(melt_years(statements, years)).withColumn("value", to_amount("value"))
+    cells = cells.where(F.col("value").isNotNull())
+    if accounts is None:
+        columns = column_names(cells.select("column_name"))
+    else:
+        clean = [re.sub("[^a-zA-Z0-9]", "_", a).strip("_") for a in accounts]
+        columns = sorted({f"{a}_{y}" for a in clean for y in years})
     return (
-        cells.where(F.col("value").isNotNull())
-        .groupBy("symbol")
+        cells.groupBy("symbol")
         .pivot("column_name", columns)
         .agg(first_value("value", ordinal))
     )
@@ -89,10 +105,18 @@ def company_accounts(folded: DataFrame, ordinal: str = "type") -> DataFrame:
     return named.groupBy("symbol", "account").agg(first_value("value", ordinal).alias("value"))
 
 
-def wide_accounts(folded: DataFrame, accounts: Sequence[str], ordinal: str = "type") -> DataFrame:
-    """One row per company, one column per account."""
-    columns = [plain_account_py(a) for a in accounts]
+def wide_accounts(
+    folded: DataFrame, accounts: Sequence[str] | None = None, ordinal: str = "type"
+) -> DataFrame:
+    """One row per company, one column per account.
+
+    Without ``accounts`` the columns are the accounts that hold any value.
+    """
     named = folded.withColumn("account", plain_account("account"))
+    if accounts is None:
+        columns = column_names(named.where(F.col("value").isNotNull()).select("account"))
+    else:
+        columns = [plain_account_py(a) for a in accounts]
     return named.groupBy("symbol").pivot("account", columns).agg(first_value("value", ordinal))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -193,9 +194,15 @@ def exemplars(
 
 
 def dataset_summary(df: DataFrame, name: str, key: str = "symbol") -> DataFrame:
-    """Rows, columns and distinct companies of a table."""
+    """Rows, columns, distinct companies and the span of the year columns of a table."""
+    years = sorted(c for c in df.columns if re.fullmatch("[0-9]{4}", c))
+    period = F.lit(f"{years[0]}-{years[-1]}" if years else None).cast("string")
     return df.agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_companies")).select(
-        F.lit(name).alias("dataset"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), "n_companies"
+        F.lit(name).alias("dataset"),
+        "n_rows",
+        F.lit(len(df.columns)).alias("n_columns"),
+        "n_companies",
+        period.alias("period"),
     )
 
 

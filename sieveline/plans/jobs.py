@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline import settings as S
-from sieveline.operators.features import base_amounts, feature_table, sector_code, with_ratios
+from sieveline.operators.features import (
+    base_amounts,
+    feature_table,
+    model_input,
+    sector_code,
+    with_ratios,
+)
 from sieveline.operators.contributions import row_contributions, top_contributions
 from sieveline.operators.guardrails import recommendations
 from sieveline.operators.labeling import label_companies
@@ -151,6 +157,8 @@ def technical_report(
     spark = rows.sparkSession
     predicted = stage(with_prediction(score(model, rows), threshold), "predicted")
     counts = stage(confusion(predicted), "counts")
+    importance = importance_table(spark, model, features)
+    top = importance.first()
     headline = hard_metrics(counts, ("accuracy",)).withColumns(
         {
             "auc": auc(predicted).scalar(),
@@ -164,13 +172,42 @@ def technical_report(
             "confusion_matrix": confusion_metrics(counts),
             "prediction_statistics": prediction_statistics(predicted, "prediction"),
             "confidence_distribution": confidence_histogram(predicted),
-            "feature_importance": importance_table(spark, model, features),
+            "feature_importance": importance,
             "data": dataset_summary(rows, "training rows", key),
-            "recommendations": recommendations(headline),
+            "recommendations": recommendations(
+                headline, len(features), top_feature=(top["feature"], top["importance_pct"] / 100)
+            ),
         },
     )
 
 
+def permit_decisions(
+    scored: DataFrame, keep: Sequence[str] = ("ticker", "company_name"), threshold: float = 0.5
+) -> DataFrame:
+    """PERMIT or REJECT with both probabilities, from a ``probability`` column."""
+    p = F.col("probability")
+    return scored.select(
+        *keep,
+        F.when(p >= threshold, "PERMIT").otherwise("REJECT").alias("decision"),
+        p.alias("permit_probability"),
+        (F.lit(1.0) - p).alias("reject_probability"),
+    )
+
+
+def score_portfolio(
+    portfolio: DataFrame,
+    model: PipelineModel,
+    features: Sequence[str] = S.MODEL_FEATURES,
+    keep: Sequence[str] = ("ticker", "company_name"),
+    threshold: float = 0.5,
+) -> DataFrame:
+    """Permit decisions of a model for a portfolio that carries the features."""
+    missing = [f for f in features if f not in portfolio.columns]
+    if missing:
+        raise ValueError(f"portfolio lacks the columns {', '.join(missing)}")
+    return permit_decisions(score(model, model_input(portfolio, features, keep)), keep, threshold)
+
+
 def portfolio_summary(predictions: DataFrame, prediction: str = "predicted_compliant") -> DataFrame:
     """Permit and reject counts with their shares."""
     p, n = F.col(prediction), F.count("*")

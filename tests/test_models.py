@@ -211,6 +211,14 @@ def test_training_and_explaining_as_jobs(spark, data):
     assert report["data"][0]["n_rows"] == 300 and len(report["feature_importance"]) == 3
 
 
+def test_portfolio_scoring_needs_its_features(data, model):
+    made = jobs.score_portfolio(data, model, FEATURES, [L.KEY]).toPandas()
+    assert set(made.decision) == {"PERMIT", "REJECT"}
+    assert ((made.permit_probability >= 0.5) == (made.decision == "PERMIT")).all()
+    with pytest.raises(ValueError, match="lacks the columns c"):
+        jobs.score_portfolio(data.drop("c"), model, FEATURES, [L.KEY])
+
+
 def test_hybrid_screen_scores_edges_only(spark, sf_dir):
     portfolio = companies(spark, sf_dir).withColumnRenamed("symbol", "ticker").drop("company_id")
     rows = model_queries.rows(spark, sf_dir)

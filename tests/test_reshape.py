@@ -63,6 +63,16 @@ def test_wide_has_the_given_columns(statements):
     assert wide.count() == 2
 
 
+def test_wide_columns_from_the_data(statements):
+    wide = R.wide_accounts(R.aggregate_years(statements, YEARS))
+    assert wide.columns == ["symbol", "Equity_Gross", "Net_Income", "Total_Assets", "Total_Debt"]
+    by_year = R.wide_by_year(statements)
+    assert "Net_Income_2020" in by_year.columns and "Net_Income_2021" not in by_year.columns
+    assert by_year.where("symbol = 'A'").first()["Equity__Gross_2020"] is None
+    with pytest.raises(ValueError):
+        R.column_names(statements.select("account"), limit=2)
+
+
 def test_sparse_filter_is_strict(spark):
     rows = [("A", f"a{i}", 1.0) for i in range(5)] + [("B", f"a{i}", 1.0) for i in range(2)]
     df = spark.createDataFrame(rows, "symbol string, account string, value double")

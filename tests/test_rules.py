@@ -201,6 +201,6 @@ def test_recommendations(spark):
     assert advice(0.92, 0.93, 0.5)["Performance"] == "EXCELLENT"
     assert advice(0.85, 0.5, 0.1) == {
         "Performance": "GOOD", "Data Balance": "IMBALANCED", "Deployment": "NOTE",
-        "Monitoring": "NOTE", "Updates": "NOTE", "Features": "NOTE",
+        "Monitoring": "NOTE", "Updates": "NOTE",
     }
     assert advice(0.5, 0.95, 0.3)["Confidence"] == "HIGH"
