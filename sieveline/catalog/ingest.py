@@ -91,7 +91,7 @@ folded AS (
 accounts AS (
   SELECT symbol, account, arg_min(value, type) AS value FROM folded GROUP BY ALL)"""
 _BY_ACCOUNT = ",\n  ".join(
-    f"round(max(value) FILTER (account = '{a.replace(' ', '_')}'), 3) AS \"{a.replace(' ', '_')}\"" for a in ACCOUNTS
+    f"round(max(value) FILTER (account = '{a.replace(' ', '_')}'), 4) AS \"{a.replace(' ', '_')}\"" for a in ACCOUNTS
 )
 
 
@@ -102,7 +102,7 @@ def _wide_sql(how: str) -> str:
 def _wide(spark, sf_dir, method):
     folded = R.aggregate_years(statements(spark, sf_dir), STATEMENT_YEARS, method)
     wide = R.wide_accounts(folded, ACCOUNTS)
-    return wide.select("symbol", *[F.round(f"`{c}`", 3).alias(c) for c in wide.columns[1:]])
+    return wide.select("symbol", *[F.round(f"`{c}`", 4).alias(c) for c in wide.columns[1:]])
 
 
 @query("statement_mean_by_account", _wide_sql("avg(value)"))
@@ -189,7 +189,7 @@ def account_alias_choice(spark, sf_dir):
     return R.alias_choice(accounts, ALIASES)
 
 
-_CANONICAL = ",\n  ".join(f"round(max(value) FILTER (canonical = '{c}'), 3) AS \"{c}\"" for c in ALIASES)
+_CANONICAL = ",\n  ".join(f"round(max(value) FILTER (canonical = '{c}'), 4) AS \"{c}\"" for c in ALIASES)
 
 
 @query(
@@ -202,7 +202,7 @@ _CANONICAL = ",\n  ".join(f"round(max(value) FILTER (canonical = '{c}'), 3) AS \
 def canonical_amounts(spark, sf_dir):
     accounts = _accounts(spark, sf_dir)
     wide = R.canonical_amounts(accounts, ALIASES)
-    return wide.select("symbol", *[F.round(f"`{c}`", 3).alias(c) for c in ALIASES])
+    return wide.select("symbol", *[F.round(f"`{c}`", 4).alias(c) for c in ALIASES])
 
 
 @query(
