@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sieveline.llm import simhash
+from sieveline.llm import mixing, simhash, urlfilter
 from sieveline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +28,100 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 @query("op7_simhash_near_duplicates")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# --- mixing ----------------------------------------------------------------------
+MIX_POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+MIX_SHARE = 0.7
+MIX_SEED = 17
+MARGINS = tuple(MIX_POWERS)
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _mixing_sql() -> str:
+    topic = " ".join(
+        f"WHEN {' OR '.join(f"contains(text, '{m}')" for m in marks)} THEN '{name}'" for name, marks in mixing.TOPIC_MARKS
+    )
+    parts = [
+        f"""d AS MATERIALIZED (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
+  CASE {topic} ELSE '{mixing.OTHER_TOPIC}' END AS topic, len({WORDS_SQL}) AS n_tokens FROM documents)""",
+        """c0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens, 1.0::DOUBLE AS w
+  FROM d GROUP BY ALL)""",
+    ]
+    for m, p in MIX_POWERS.items():
+        parts.append(
+            f"""t_{m} AS MATERIALIZED (SELECT {m}, pow(s, {p}) / sum(pow(s, {p})) OVER () AS share FROM
+  (SELECT {m}, sum(tokens) / sum(sum(tokens)) OVER () AS s FROM c0 GROUP BY {m} HAVING sum(tokens) > 0))"""
+        )
+    n = 0
+    for _ in range(mixing.MAX_SWEEPS):
+        for m in MIX_POWERS:
+            parts.append(
+                f"""c{n + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, coalesce(w * share /
+  (sum(tokens * w) OVER (PARTITION BY {m}) / sum(tokens * w) OVER ()), 0) AS w FROM c{n} LEFT JOIN t_{m} USING ({m}))"""
+            )
+            n += 1
+    parts.append(
+        f"""steps AS (SELECT w, row_number() OVER (ORDER BY w DESC, source, lang, topic) AS n, (({MIX_SHARE} * sum(tokens) OVER ()) -
+    coalesce(sum(tokens) OVER (ORDER BY w DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / (sum(tokens * w) OVER () -
+    coalesce(sum(tokens * w) OVER (ORDER BY w DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS t
+  FROM c{n} WHERE tokens * w > 0),
+rate AS (SELECT arg_min(t, n) AS t FROM steps WHERE t * w < 1),
+p AS (SELECT source, lang, topic, w, least(1.0, w * t) AS p FROM c{n}, rate),
+u AS (SELECT d.*, w, p,
+  ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{MIX_SEED}'), 1, 13))::BIGINT / pow(2, 52) < p AS sampled
+  FROM d JOIN p USING (source, lang, topic))"""
+    )
+    return "WITH " + ",\n".join(parts) + """
+SELECT doc_id, source, lang, topic, n_tokens, round(w, 6) AS weight, round(p, 6) AS probability, sampled,
+  CASE WHEN sampled THEN round(w / p, 6) END AS sample_weight FROM u"""
+
+
+@query("op1_mixing_to_target_weights", _mixing_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    mixed = mixing.mix(docs, MIX_POWERS, MIX_SHARE, MIX_SEED)
+    unknown = lambda c: F.coalesce(c, F.lit("unknown")).alias(c)
+    numbers = [F.round(c, 6).alias(c) for c in ("weight", "probability", "sample_weight")]
+    return mixed.select("doc_id", unknown("source"), unknown("lang"), "topic", "n_tokens", "sampled", *numbers)
+
+
+# --- URL filters -----------------------------------------------------------------
+URL_RULES = (
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+)
+#: Words of host labels that put a crawled address on the list.
+SPAM_LABELS = ("spam", "pills", "casino", "replica", "loans")
+SPAM_HOST = rf"(^|[.-])({'|'.join(SPAM_LABELS)})([.-]|$)"
+
+
+def _url_sql() -> str:
+    tracking = " AND ".join(f"NOT starts_with(x, '{t}')" for t in urlfilter.TRACKING)
+    ruled = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in ruled]
+    name = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, ruled))
+    verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, ruled))
+    return f"""
+WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+s AS (SELECT page_id,
+  translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) AS args FROM r),
+a AS (SELECT *, array_to_string(list_filter(string_split(args, '&'), lambda x: x <> '' AND {tracking}), '&') AS kept FROM s),
+k AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www[.]', '') || regexp_replace(path, '/+$', '') ||
+  CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS key FROM a),
+listed AS (SELECT DISTINCT key FROM k WHERE regexp_matches(host, '{SPAM_HOST}'))
+SELECT page_id, host, path, CASE {name} END AS rule,
+  CASE {verdict} WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM k"""
+
+
+@query("op10_url_filter", _url_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, _, _ = urlfilter.url_parts(F.col("url"))
+    listed = pages.where(host.rlike(SPAM_HOST)).select("url")
+    return urlfilter.judge_urls(pages, listed, URL_RULES)
