@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import mixing, simhash, urlfilter
+from sieveline.llm import decontaminate, mixing, simhash, toxicity, urlfilter
 from sieveline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     host, _, _ = urlfilter.url_parts(F.col("url"))
     listed = pages.where(host.rlike(SPAM_HOST)).select("url")
     return urlfilter.judge_urls(pages, listed, URL_RULES)
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_benchmark_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("score", F.round("score", 6))
