@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontaminate, mixing, simhash, toxicity, urlfilter
+from sieveline.llm import decontaminate, mixing, secrets, simhash, topk, toxicity, urlfilter, warc
 from sieveline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,47 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("score", F.round("score", 6))
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit_forest(secrets.labelled_findings(docs)))
+
+
+# --- exact search ----------------------------------------------------------------
+TOP_K = 10
+QUERY_STEP = 50  # every row whose id it divides is a query
+
+TOP_K_SQL = f"""
+WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, e.vec_id AS id,
+  CAST(list_sum(list_transform(list_zip(q.bits, e.bits), lambda x: CAST(x[1] <> x[2] AS INTEGER))) AS INTEGER) AS distance
+  FROM e AS q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % {QUERY_STEP} = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p)
+SELECT query_id, rank, id, distance FROM r WHERE rank <= {TOP_K}"""
+
+
+@query("op8_exact_top_k", TOP_K_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.sign_code(F.col("embedding")).alias("code"))
+    return topk.nearest(codes, codes.where(F.col("id") % QUERY_STEP == 0), TOP_K)
+
+
+# --- WARC ------------------------------------------------------------------------
+_LETTERS = " || ".join(
+    f"substr('{warc.BASE32}', ((('0x' || substr(h, {5 * i + 1}, 5))::INTEGER >> {shift}) & 31) + 1, 1)"
+    for i in range(8)
+    for shift in (15, 10, 5, 0)
+)
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, {_LETTERS} AS payload_digest, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM d"""
+
+
+@query("op9_warc_bundles", WARC_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
