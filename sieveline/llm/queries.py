@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontaminate, mixing, secrets, simhash, topk, toxicity, urlfilter, warc
+from sieveline.llm import decontaminate, extract, mixing, secrets, simhash, topk, toxicity, urlfilter, warc
 from sieveline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,3 +180,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 @query("op9_warc_bundles", WARC_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
+
+
+@query("op2_html_main_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"), extract.train(extract.labelled_pages()))
