@@ -217,20 +217,20 @@ def find_copies(
         [], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema[item_col].dataType.simpleString()}, "
         "score double, first_word long, n_words long"
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    # As text, an id passes through pandas unchanged, null or not.
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType
     for ids, texts in _blocks(benchmark, item_col, item_text_col):
         seeds = learn_seeds(rows, texts, "text")
 
         def search(parts: Iterator[pd.DataFrame], seeds=seeds) -> Iterator[pd.DataFrame]:
             for part in parts:
                 found = [(k, *f) for k, text in zip(part["id"], part["text"]) for f in seeds.find(text, min_score)]
-                made = pd.DataFrame(found, columns=["id", "item", "score", "first_word", "n_words"])
-                yield made.astype({"id": part["id"].dtype})
+                yield pd.DataFrame(found, columns=["id", "item", "score", "first_word", "n_words"])
 
-        found = rows.mapInPandas(search, f"id {kind}, item int, score double, first_word long, n_words long")
+        found = rows.mapInPandas(search, "id string, item int, score double, first_word long, n_words long")
         named = found.join(F.broadcast(ids), "item")  # a block of items
-        out = out.unionByName(named.select(F.col("id").alias(id_col), "item_id", "score", "first_word", "n_words"))
+        out = out.unionByName(named.select(F.col("id").cast(kind).alias(id_col), "item_id", "score", "first_word", "n_words"))
     return out
 
 

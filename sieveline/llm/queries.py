@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontaminate, extract, mixing, secrets, simhash, topk, toxicity, urlfilter, warc
+from sieveline.llm import ctw, decontaminate, extract, mixing, secrets, simhash, topk, toxicity, urlfilter, warc
 from sieveline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,3 +185,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_html_main_text")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"), extract.train(extract.labelled_pages()))
+
+
+@query("op4_context_tree_score")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(table(spark, sf_dir, "documents"), toxicity.in_fold("doc_id", 5, 1))
