@@ -10,11 +10,13 @@ probability; no task and no driver holds it whole.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,11 @@ DEPTH = 5
 SPLIT = 2
 #: Text bytes that one task scores at a time.
 CHUNK_BYTES = 16 << 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: A chunk's n-grams travel in so many packed rows, and its words in as many; a prime.
+BUCKETS = 127
+#: Chunks whose packed rows of a bucket one task holds.
+GROUP_CHUNKS = 1024
 END = b"\n"
 
 _TABLE = 256
@@ -70,7 +76,7 @@ def gram_codes(data: bytes, depth: int) -> np.ndarray:
     return out
 
 
-def _slices(texts: Sequence[bytes], depth: int):
+def _slices(texts: Sequence[bytes], depth: int) -> Iterator[list[tuple[int, bytes]]]:
     """Batches of (number of a text, piece of it with its context), of bounded size.
 
     A text longer than a piece is cut with its context repeated, so positions
@@ -120,19 +126,74 @@ def _count_chunk(depth: int):
                 grams, at = np.unique(both, return_inverse=True)
                 seen = np.bincount(at, n, minlength=len(grams)).astype(np.int64)
             words[END] += len(forms) if train else 0
-        names = [w.decode("utf-8", "surrogatepass") for w in words]
-        return pd.DataFrame(
-            {
-                "chunk": part["chunk"].iloc[0],
-                "gram": np.concatenate([grams, np.full(len(names), -1)]),
-                "word": [""] * len(grams) + names,
-                "n": np.concatenate([seen, np.fromiter(words.values(), np.int64, len(names))]),
-            }
-        )
+        chunk = int(part["chunk"].iloc[0])
+        return pd.DataFrame([(chunk, *r) for r in [*_pack_grams(grams, seen), *_pack_words(words)]], columns=["chunk", "bucket", "keys", "n"])
 
     return count
 
 
+def _squeeze(a: np.ndarray) -> bytes:
+    return zstandard.compress(a.tobytes(), 1)
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
+
+
+def _pack_grams(grams: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, keys, counts): sorted n-grams by remainder, as differences."""
+    bucket = grams % BUCKETS
+    order = np.argsort(bucket, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if len(part):
+            yield int(bucket[part[0]]), _squeeze(np.diff(grams[part], prepend=0)), _squeeze(n[part])
+
+
+def _pack_words(words: Counter) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, keys, counts) of words by remainder of their checksum; a word holds no blank."""
+    parts: dict[int, list[bytes]] = {}
+    for w in words:
+        parts.setdefault(BUCKETS + zlib.crc32(w) % BUCKETS, []).append(w)
+    for bucket, ws in parts.items():
+        yield bucket, zstandard.compress(b" ".join(ws), 1), _squeeze(np.fromiter((words[w] for w in ws), np.int64, len(ws)))
+
+
+def _gram_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data, "int64"))
+
+
+def _word_keys(data: bytes) -> list[bytes]:
+    return zstandard.decompress(data).split(b" ")
+
+
+def _merge_bucket(part: pd.DataFrame) -> pd.DataFrame:
+    """Counts of a bucket summed over the chunks of a group, a row per n-gram or word."""
+    if part["bucket"].iloc[0] < BUCKETS:
+        keys, n = np.concatenate([_gram_keys(k) for k in part["keys"]]), np.concatenate([_numbers(c, "int64") for c in part["n"]])
+        grams, at = np.unique(keys, return_inverse=True)
+        return pd.DataFrame({"gram": grams, "word": "", "n": np.bincount(at, n, minlength=len(grams)).astype(np.int64)})
+    words = Counter()
+    for keys, n in zip(part["keys"], part["n"]):
+        for w, c in zip(_word_keys(keys), _numbers(n, "int64").tolist()):
+            words[w] += c
+    return pd.DataFrame({"gram": -1, "word": [w.decode("utf-8", "surrogatepass") for w in words], "n": list(words.values())})
+
+
+def _answer_bucket(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    """The chunks' packed rows of a bucket with the value of each of their keys."""
+    if not len(asked):
+        return pd.DataFrame({"chunk": [], "bucket": [], "keys": [], "values": []})
+    if asked["bucket"].iloc[0] < BUCKETS:
+        grams, values = table["gram"].to_numpy(), table["value"].to_numpy()
+        order = np.argsort(grams)
+        grams, values = grams[order], values[order]
+        found = [values[np.searchsorted(grams, _gram_keys(k))] for k in asked["keys"]]
+    else:
+        value = {w.encode("utf-8", "surrogatepass"): v for w, v in zip(table["word"], table["value"])}
+        found = [np.array([value[w] for w in _word_keys(k)]) for k in asked["keys"]]
+    return asked[["chunk", "bucket", "keys"]].assign(values=[_squeeze(v) for v in found])
+
+
 def _mix_branch(depth: int):
     def mix(part: pd.DataFrame) -> pd.DataFrame:
         """Mixtures below one context of ``SPLIT`` bytes: a probability per n-gram and decision, and the branch's nodes."""
@@ -217,11 +278,15 @@ def _score_chunk(depth: int, n_train: int, n_words: int):
 
     def score(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         """Scores of a chunk's texts from the n-grams and words that occur in it."""
-        is_gram = table["gram"].to_numpy() >= 0
-        grams, logp = table["gram"].to_numpy()[is_gram], table["value"].to_numpy()[is_gram]
+        is_gram = table["bucket"].to_numpy() < BUCKETS
+        of_grams, of_words = table[is_gram], table[~is_gram]
+        grams = np.concatenate([_gram_keys(k) for k in of_grams["keys"]])
+        logp = np.concatenate([_numbers(v, "float64") for v in of_grams["values"]])
         order = np.argsort(grams)
         grams, logp = grams[order], logp[order]
-        known = {w.encode("utf-8", "surrogatepass"): int(v) for w, v in zip(table["word"][~is_gram], table["value"][~is_gram]) if v > 0}
+        known = {}
+        for keys, values in zip(of_words["keys"], of_words["values"]):
+            known.update((w, c) for w, c in zip(_word_keys(keys), _numbers(values, "float64").tolist()) if c > 0)
         value = {w: math.log10((c + 0.5) / floor) for w, c in known.items()}
         new = math.log10(0.5 / floor)
         rows, forms = [], []
@@ -259,9 +324,10 @@ def score_documents(
 
     Texts are dealt to chunks of about ``chunk_bytes`` by a hash of the row, so
     no source or group of copies fills one; only fully repeated rows meet. A
-    chunk is first reduced to its distinct n-grams and words. Counts and the
-    model are tables keyed by n-gram, and joining them to the chunks brings
-    each chunk just the entries that occur in it.
+    chunk is first reduced to its distinct n-grams and words, packed into a few
+    rows by remainder. Counts and the model are tables keyed by n-gram or word;
+    a bucket of them meets the chunks' rows of that bucket, a group of chunks
+    at a time, and sends back just the entries that occur in a chunk.
     """
     if not SPLIT < depth <= 6:
         raise ValueError("depth must be 3 to 6")
@@ -271,19 +337,26 @@ def score_documents(
     train = ~F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), train.alias("train"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
-    seen = stage(rows.groupBy("chunk").applyInPandas(_count_chunk(depth), "chunk int, gram long, word string, n long"), "ctw")
+    group = F.floor(F.col("chunk") / GROUP_CHUNKS).cast("int")
+    seen = rows.groupBy("chunk").applyInPandas(_count_chunk(depth), "chunk int, bucket int, keys binary, n binary")
+    seen = stage(seen.withColumn("part", group), "ctw")
 
-    grams = seen.where("gram >= 0").groupBy("gram").agg(F.sum("n").alias("n"))
-    model = stage(learn(grams, depth), "ctw")
-    words = stage(seen.where("gram < 0").groupBy("word").agg(F.sum("n").alias("n")), "ctw")
-    total = words.where("n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    counts = seen.groupBy("bucket", "part").applyInPandas(_merge_bucket, "gram long, word string, n long")
+    counts = stage(counts.groupBy("gram", "word").agg(F.sum("n").alias("n")), "ctw")
+    total = counts.where("gram < 0 and n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_train, n_words = int(total.n or 0), int(total.v)
 
-    by_gram = seen.where("gram >= 0").select("chunk", "gram").join(model, "gram")
-    by_word = seen.where("gram < 0").select("chunk", "word").join(words, "word")
-    table = by_gram.select("chunk", "gram", F.lit("").alias("word"), F.col("logp").alias("value")).unionByName(
-        by_word.select("chunk", F.lit(-1).cast("long").alias("gram"), "word", F.col("n").cast("double").alias("value"))
+    model = learn(counts.where("gram >= 0").select("gram", "n"), depth).select(
+        (F.col("gram") % BUCKETS).cast("int").alias("bucket"), "gram", F.lit("").alias("word"), F.col("logp").alias("value")
+    )
+    known = counts.where("gram < 0").select(
+        (BUCKETS + F.crc32("word") % BUCKETS).cast("int").alias("bucket"), "gram", "word", F.col("n").cast("double").alias("value")
     )
+    # One copy of the model for each group of chunks.
+    parts = F.explode(F.sequence(F.lit(0), F.lit((chunks - 1) // GROUP_CHUNKS))).alias("part")
+    table = model.unionByName(known).select("*", parts)
+    asked = seen.groupBy("bucket", "part").cogroup(table.groupBy("bucket", "part"))
+    table = asked.applyInPandas(_answer_bucket, "chunk int, bucket int, keys binary, values binary")
     scored = rows.groupBy("chunk").cogroup(table.groupBy("chunk")).applyInPandas(_score_chunk(depth, n_train, n_words), SCORES)
     return scored.select(
         F.col("id").cast(kind).alias(id_col),

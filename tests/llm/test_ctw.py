@@ -54,7 +54,7 @@ def brute(train, text, depth):
     return total
 
 
-ROWS = [(i, t) for i, t in enumerate(["The cat sat on the mat", "the CAT\t sat", "", None, "dogs bark é 日本", "a cat, a dog", "zq xw"] * 3)]
+ROWS = [(i, t) for i, t in enumerate(["The cat sat on the mat", "the CAT\t sat", "", None, "dogs bark é 日本", "a cat, a dog", "zq \0 xw"] * 3)]
 
 
 @pytest.mark.parametrize("depth", [3, 5, 6])
@@ -92,7 +92,7 @@ def test_probabilities_of_the_next_byte_sum_to_one(spark):
 
 
 def test_held_out_texts_of_the_tables(spark):
-    r = ctw.score_documents(table(spark, "/root/testdata/sf0.01", "documents"), in_fold("doc_id", 5, 1))
+    r = ctw.score_documents(table(spark, "/root/testdata/sf0.1", "documents"), in_fold("doc_id", 5, 1))
     r = r.where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
 
