@@ -95,7 +95,8 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = S
         probes = open_.select("q", "bound", own).select(
             "q", "bound", "e.seg", F.explode(F.transform(_masks(width, r), lambda m: F.col("e.val").bitwiseXOR(m))).alias("val")
         )
-        near = probes.join(table, ["seg", "val"]).where(_distance("q", "code") <= F.col("bound"))
+        # Sizes are estimated without the explosion, so nothing may be broadcast here.
+        near = probes.hint("merge").join(table, ["seg", "val"]).where(_distance("q", "code") <= F.col("bound"))
         new = near.select("q", "code", "n", _distance("q", "code").alias("distance"))
         if found is not None:
             new = new.unionByName(found.join(open_.select("q"), "q", "left_semi"))
