@@ -199,11 +199,13 @@ SQL_STATEMENTS = """
 cells AS (
   SELECT CAST(o_custkey AS VARCHAR) AS symbol, o_orderpriority AS account, o_orderstatus AS type,
     CAST(year(o_orderdate) AS VARCHAR) AS year, round(sum(o_totalprice), 2) AS value
-  FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1998 GROUP BY ALL),
+  FROM orders GROUP BY ALL),
 statements AS (
   SELECT symbol, account, type,
     max(value) FILTER (year = '1995') AS "1995", max(value) FILTER (year = '1996') AS "1996",
-    max(value) FILTER (year = '1997') AS "1997", max(value) FILTER (year = '1998') AS "1998"
+    max(value) FILTER (year = '1997') AS "1997", max(value) FILTER (year = '1998') AS "1998",
+    max(value) FILTER (year = '1999') AS "1999", max(value) FILTER (year = '2000') AS "2000",
+    max(value) FILTER (year = '2001') AS "2001"
   FROM cells GROUP BY ALL)"""
 
 

@@ -46,7 +46,7 @@ def statement_profile(spark, sf_dir):
     with_sql(
         SQL_STATEMENTS,
         """SELECT s.symbol, s.account, s.type, y.year, c.value
-FROM statements s CROSS JOIN (VALUES ('1995'), ('1996'), ('1997'), ('1998')) y(year)
+FROM statements s CROSS JOIN (VALUES ('1995'), ('1996'), ('1997'), ('1998'), ('1999'), ('2000'), ('2001')) y(year)
 LEFT JOIN cells c ON c.symbol = s.symbol AND c.account = s.account AND c.type = s.type AND c.year = y.year""",
     ),
 )
@@ -61,7 +61,7 @@ def statement_melt(spark, sf_dir):
         """SELECT trim(regexp_replace(account, '[^a-zA-Z0-9]', '_', 'g'), '_') || '_' || year AS column_name,
   count(value) AS n_values
 FROM (SELECT s.account, y.year, c.value
-  FROM statements s CROSS JOIN (VALUES ('1995'), ('1996'), ('1997'), ('1998')) y(year)
+  FROM statements s CROSS JOIN (VALUES ('1995'), ('1996'), ('1997'), ('1998'), ('1999'), ('2000'), ('2001')) y(year)
   LEFT JOIN cells c ON c.symbol = s.symbol AND c.account = s.account AND c.type = s.type AND c.year = y.year)
 GROUP BY ALL""",
     ),
@@ -196,7 +196,7 @@ _CANONICAL = ",\n  ".join(f"round(max(value) FILTER (canonical = '{c}'), 4) AS \
     "canonical_amounts",
     with_sql(
         SQL_ALIASES,
-        f"SELECT symbol,\n  {_CANONICAL}\nFROM accounts JOIN choice USING (account) GROUP BY symbol",
+        f"SELECT symbol,\n  {_CANONICAL}\nFROM accounts LEFT JOIN choice USING (account) GROUP BY symbol",
     ),
 )
 def canonical_amounts(spark, sf_dir):
@@ -306,8 +306,8 @@ def labels_with_features(spark, sf_dir):
     "dataset_summary",
     with_sql(
         SQL_STATEMENTS,
-        """SELECT 'statements' AS dataset, count(*) AS n_rows, 7 AS n_columns, count(DISTINCT symbol) AS n_companies,
-  '1995-1998' AS period FROM statements
+        """SELECT 'statements' AS dataset, count(*) AS n_rows, 10 AS n_columns, count(DISTINCT symbol) AS n_companies,
+  '1995-2001' AS period FROM statements
 UNION ALL
 SELECT 'features', count(*), 21, count(DISTINCT c_custkey), NULL FROM customer
 UNION ALL

@@ -508,24 +508,13 @@ def metric_targets(spark, sf_dir):
         + (count(*) OVER (PARTITION BY probability) - 1) / 2.0 AS r FROM scored))) AS auc FROM scored)
 SELECT 'Performance' AS category,
   CASE WHEN acc >= 90 THEN 'EXCELLENT' WHEN acc >= 80 THEN 'GOOD' ELSE 'CAUTION' END AS status,
-  'Test accuracy of ' || printf('%.2f%%', acc) || CASE WHEN acc >= 90 THEN ' indicates excellent model performance'
-    WHEN acc >= 80 THEN ' is acceptable for production' ELSE ' may need improvement' END AS message,
-  CASE WHEN acc >= 90 THEN 'Ready for production deployment' WHEN acc >= 80 THEN 'Monitor performance in production'
-    ELSE 'Consider additional feature engineering or retraining' END AS action FROM m
-UNION ALL SELECT 'Confidence', 'HIGH', 'High AUC score (' || printf('%.2f%%', auc)
-  || ') indicates strong discrimination ability', 'Predictions are highly reliable' FROM m WHERE auc >= 90
+  'accuracy' AS metric, round(acc / 100, 9) AS value, CAST(NULL AS VARCHAR) AS detail FROM m
+UNION ALL SELECT 'Confidence', 'HIGH', 'auc', round(auc / 100, 9), NULL FROM m WHERE auc >= 90
 UNION ALL SELECT 'Data Balance', CASE WHEN share BETWEEN 30 AND 70 THEN 'BALANCED' ELSE 'IMBALANCED' END,
-  CASE WHEN share BETWEEN 30 AND 70
-    THEN 'Compliant/Non-compliant distribution (' || printf('%.2f%%', share) || ') is reasonable'
-    ELSE 'Class distribution is skewed (' || printf('%.2f%%', share) || ')' END,
-  CASE WHEN share BETWEEN 30 AND 70 THEN 'Model handles class distribution well'
-    ELSE 'Monitor for potential bias in predictions' END FROM m
-UNION ALL SELECT 'Deployment', 'NOTE', 'Model requires 2 input features with proper scaling',
-  'Ensure data pipeline matches training configuration'
-UNION ALL SELECT 'Monitoring', 'NOTE', 'Track prediction distribution in production',
-  'Alert if class distribution changes significantly'
-UNION ALL SELECT 'Updates', 'NOTE', 'Model trained on data from 1995-1998',
-  'Retrain annually or when new data is available'""",
+  'compliant_share', round(share / 100, 9), NULL FROM m
+UNION ALL SELECT 'Deployment', 'NOTE', 'input_features', 2, NULL
+UNION ALL SELECT 'Monitoring', 'NOTE', 'compliant_share', round(share / 100, 9), NULL FROM m
+UNION ALL SELECT 'Updates', 'NOTE', 'training_period', NULL, '1995-2001'""",
     ).replace("\n, m AS", ",\nm AS"),
 )
 def deployment_recommendations(spark, sf_dir):
@@ -533,4 +522,5 @@ def deployment_recommendations(spark, sf_dir):
     accuracy = M.hard_metrics(M.confusion(data), ("accuracy",)).scalar()
     share = data.agg(F.avg(F.col("prediction").cast("double"))).scalar()
     row = M.auc(data).withColumns({"accuracy": accuracy, "compliant_share": share})
-    return G.recommendations(row, n_features=2, period="1995-1998")
+    advice = G.recommendations(row, n_features=2, period="1995-2001")
+    return advice.withColumn("value", F.round("value", 9))

@@ -24,6 +24,12 @@ def ratio(num: str | Column, den: str | Column) -> Column:
     return safe_divide(num, col(den) + F.lit(EPSILON))
 
 
+def known(c: str | Column) -> Column:
+    """The number, with NaN as null. Spark orders NaN above every number, a rule must not."""
+    value = col(c).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def to_amount(c: str | Column) -> Column:
     """Parse to double. Unparseable text, NaN and infinities become null."""
     value = col(c).try_cast("double")

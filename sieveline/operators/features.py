@@ -70,8 +70,10 @@ def feature_table(companies: DataFrame, legacy_sector: bool = False) -> DataFram
     The sector is used where the table has one. ``legacy_sector`` ignores it,
     so that every company is in the default sector.
     """
-    amounts = base_amounts(companies, [c for c in companies.columns if c in ("symbol", "sector", "total_debt")])
-    amounts = liabilities_fallback(amounts)
+    # The debt column is found in any letter case, as in real statements.
+    debt = next((c for c in companies.columns if c.lower() == "total_debt"), "total_debt")
+    amounts = base_amounts(companies, [c for c in companies.columns if c in ("symbol", "sector", debt)])
+    amounts = liabilities_fallback(amounts, debt)
     if legacy_sector or "sector" not in amounts.columns:
         amounts = amounts.withColumn("sector", F.lit(S.DEFAULT_SECTOR))
     df = with_ratios(amounts).withColumn("sector_encoded", sector_code(F.col("sector")))

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.functions.expressions import any_of
+from sieveline.functions.expressions import any_of, known
 from sieveline.settings import (
     METRIC_TARGETS,
     MODEL_FEATURES,
@@ -27,9 +27,9 @@ def guardrail_decision(
     riba: str = "f_riba",
     nonhalal: str = "f_nonhalal",
 ) -> Column:
-    """0 where a guardrail rejects, else 1. Null ratios are not rejected."""
-    high_debt = F.coalesce(F.col(riba) > rules.riba_limit, F.lit(False))
-    impure = F.coalesce(F.col(nonhalal) > rules.nonhalal_limit, F.lit(False))
+    """0 where a guardrail rejects, else 1. Null and NaN ratios are not rejected."""
+    high_debt = F.coalesce(known(riba) > rules.riba_limit, F.lit(False))
+    impure = F.coalesce(known(nonhalal) > rules.nonhalal_limit, F.lit(False))
     return F.when(_banned(rules.prohibited_sectors, sector) | high_debt | impure, 0).otherwise(1)
 
 
@@ -39,8 +39,8 @@ def guardrail_cases(df: DataFrame, rules: Guardrails = Guardrails(), sector: str
     One pass over the table for all three cases.
     """
     subsets = {
-        "TC-001": F.col("f_riba") > rules.riba_limit,
-        "TC-002": F.col("f_nonhalal") > rules.nonhalal_limit,
+        "TC-001": known("f_riba") > rules.riba_limit,
+        "TC-002": known("f_nonhalal") > rules.nonhalal_limit,
         "TC-003": _banned(rules.prohibited_sectors, sector),
     }
     rejected = guardrail_decision(rules, sector) == 0
@@ -93,13 +93,13 @@ def guardrail_pass_rate(guarded: DataFrame) -> DataFrame:
 
 def confidence_status(c: str = "confidence") -> Column:
     """High above 0.85, Medium above 0.70, else Low."""
-    return F.when(F.col(c) > 0.85, "High").when(F.col(c) > 0.70, "Medium").otherwise("Low")
+    return F.when(known(c) > 0.85, "High").when(known(c) > 0.70, "Medium").otherwise("Low")
 
 
 def probability_tier(c: str = "probability") -> Column:
     """Bands above 0.80, 0.45 to 0.80 and below 0.45."""
     return (
-        F.when(F.col(c) > 0.80, "compliant").when(F.col(c) >= 0.45, "borderline").otherwise("non_compliant")
+        F.when(known(c) > 0.80, "compliant").when(known(c) >= 0.45, "borderline").otherwise("non_compliant")
     )
 
 
@@ -111,101 +111,41 @@ def check_targets(metrics: DataFrame, targets: Mapping[str, float] = METRIC_TARG
     return with_target.withColumn("met", F.coalesce(F.col("value") >= F.col("target"), F.lit(False)))
 
 
-# --- fixed values: advice texts, (status, message, action) ----------------------
-ADVICE = {
-    "excellent": (
-        "EXCELLENT",
-        "Test accuracy of %.2f%% indicates excellent model performance",
-        "Ready for production deployment",
-    ),
-    "good": (
-        "GOOD",
-        "Test accuracy of %.2f%% is acceptable for production",
-        "Monitor performance in production",
-    ),
-    "caution": (
-        "CAUTION",
-        "Test accuracy of %.2f%% may need improvement",
-        "Consider additional feature engineering or retraining",
-    ),
-    "high": (
-        "HIGH",
-        "High AUC score (%.2f%%) indicates strong discrimination ability",
-        "Predictions are highly reliable",
-    ),
-    "balanced": (
-        "BALANCED",
-        "Compliant/Non-compliant distribution (%.2f%%) is reasonable",
-        "Model handles class distribution well",
-    ),
-    "imbalanced": (
-        "IMBALANCED",
-        "Class distribution is skewed (%.2f%%)",
-        "Monitor for potential bias in predictions",
-    ),
-}
-
-
 def recommendations(
     metrics: DataFrame,
     n_features: int = len(MODEL_FEATURES),
     period: str = f"{STATEMENT_YEARS[0]}-{STATEMENT_YEARS[-1]}",
     top_feature: tuple[str, float] | None = None,
 ) -> DataFrame:
-    """Deployment advice from ``accuracy``, ``auc`` and ``compliant_share``.
+    """(category, status, metric, value, detail) for a deployment, from ``accuracy``, ``auc`` and ``compliant_share``.
 
-    One input row of fractions gives one output row per recommendation.
-    ``top_feature`` is a name with its importance share.
+    One input row of fractions gives one output row per category; a status of
+    NOTE states a fact to keep in view. ``top_feature`` is a name with its
+    importance share.
     """
-    accuracy, auc, share = (F.col(c) * 100 for c in ("accuracy", "auc", "compliant_share"))
+    accuracy, auc, share = F.col("accuracy"), F.col("auc"), F.col("compliant_share")
+    level = F.when(accuracy >= 0.9, "EXCELLENT").when(accuracy >= 0.8, "GOOD").otherwise("CAUTION")
+    balance = F.when(share.between(0.3, 0.7), "BALANCED").otherwise("IMBALANCED")
+    number, text = lambda x: F.lit(x).cast("double"), lambda x: F.lit(x).cast("string")
 
-    def advice(category: str, kind: str, value: Column) -> Column:
-        status, message, action = ADVICE[kind]
+    def row(category: str, status: Column, metric: str, value: Column, detail: str | None = None) -> Column:
         return F.struct(
             F.lit(category).alias("category"),
-            F.lit(status).alias("status"),
-            F.format_string(message, value).alias("message"),
-            F.lit(action).alias("action"),
-        )
-
-    def note(category: str, message: str, action: str) -> Column:
-        return F.struct(
-            F.lit(category).alias("category"),
-            F.lit("NOTE").alias("status"),
-            F.lit(message).alias("message"),
-            F.lit(action).alias("action"),
+            status.alias("status"),
+            F.lit(metric).alias("metric"),
+            value.cast("double").alias("value"),
+            text(detail).alias("detail"),
         )
 
+    note = F.lit("NOTE")
     rows = [
-        F.when(accuracy >= 90, advice("Performance", "excellent", accuracy))
-        .when(accuracy >= 80, advice("Performance", "good", accuracy))
-        .otherwise(advice("Performance", "caution", accuracy)),
-        F.when(auc >= 90, advice("Confidence", "high", auc)),
-        F.when(share.between(30, 70), advice("Data Balance", "balanced", share)).otherwise(
-            advice("Data Balance", "imbalanced", share)
-        ),
-        note(
-            "Deployment",
-            f"Model requires {n_features} input features with proper scaling",
-            "Ensure data pipeline matches training configuration",
-        ),
-        note(
-            "Monitoring",
-            "Track prediction distribution in production",
-            "Alert if class distribution changes significantly",
-        ),
-        note(
-            "Updates",
-            f"Model trained on data from {period}",
-            "Retrain annually or when new data is available",
-        ),
+        row("Performance", level, "accuracy", accuracy),
+        F.when(auc >= 0.9, row("Confidence", F.lit("HIGH"), "auc", auc)),
+        row("Data Balance", balance, "compliant_share", share),
+        row("Deployment", note, "input_features", number(n_features)),
+        row("Monitoring", note, "compliant_share", share),
+        row("Updates", note, "training_period", number(None), period),
     ]
     if top_feature:
-        rows.append(
-            note(
-                "Features",
-                f"{top_feature[0]} is the most important feature ({top_feature[1]:.2%})",
-                "Ensure this feature is accurate in production data",
-            )
-        )
+        rows.append(row("Features", note, "importance", number(top_feature[1]), top_feature[0]))
     return metrics.select(F.inline(F.array_compact(F.array(*rows))))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.functions.expressions import any_of, ratio
+from sieveline.functions.expressions import any_of, known, ratio
 from sieveline.settings import LabelRules
 
 RULE_FLAGS = (
@@ -29,14 +29,14 @@ RULE_VALUES = (
 def _first_present(df: DataFrame, *names: str) -> Column:
     """The first of ``names`` that exists as a column, else null."""
     have = next((n for n in names if n in df.columns), None)
-    return F.col(have).cast("double") if have else F.lit(None).cast("double")
+    return known(have) if have else F.lit(None).cast("double")
 
 
 def _or_ratio(df: DataFrame, name: str, num: str, den: str) -> Column:
     """The column ``name``, recomputed from its parts where it is null."""
     value = _first_present(df, name)
     if num in df.columns and den in df.columns:
-        both = F.col(num).isNotNull() & F.col(den).isNotNull()
+        both = known(num).isNotNull() & known(den).isNotNull()
         value = F.coalesce(value, F.when(both, ratio(num, den)))
     return value
 
@@ -55,7 +55,7 @@ def rule_values(df: DataFrame) -> dict[str, Column]:
 
 
 def with_financial_rules(df: DataFrame, rules: LabelRules = LabelRules()) -> DataFrame:
-    """Add five values, five flags and their conjunction. A null value fails its rule."""
+    """Add five values, five flags and their conjunction. A null or NaN value fails its rule."""
     df = df.withColumns(rule_values(df))
     tests = {
         "debt_to_assets_ok": F.col("debt_to_assets_value") <= rules.debt_to_assets_max,

@@ -193,19 +193,16 @@ def exact_quantiles(
     columns: Sequence[str],
     shares: Sequence[float],
     accuracy: int = 10000,
-    rank_all_below: int = 1_000_000,
 ) -> DataFrame:
     """(feature, share, quantile) with linear interpolation between neighbours.
 
     Exact, and never holds a column in one task. It passes over ``df`` several
-    times, so give it a stored or staged table. Small tables are ranked as a
-    whole. On larger ones a sketch bounds every quantile and only the values
-    between the bounds are ranked; should a bound miss, the whole table is.
+    times and runs jobs while it is called, so give it a stored or staged table.
+    A sketch bounds every quantile and only the values between the bounds are
+    ranked; should a bound miss, the whole table is.
     """
     shares = [float(s) for s in shares]
     long = long_values(df, columns)
-    if df.count() < max(rank_all_below, accuracy):
-        return _all_quantiles(long, shares)
     found = stage(_bracketed_quantiles(long, shares, accuracy), "quantiles")
     filled = long.groupBy("feature").agg(F.count("*").alias("n")).count()
     if found.where(F.col("quantile").isNotNull()).count() == filled * len(shares):

@@ -222,11 +222,11 @@ def canonical_amounts(
 ) -> DataFrame:
     """(symbol, account, value) rows to one row per symbol with canonical columns.
 
-    Only rows of a winning account reach the pivot. The choice table is
-    bounded by the alias list, so it is broadcast.
+    Every symbol stays, with nulls where it has no winning account. The choice
+    table is bounded by the alias list, so it is broadcast.
     """
     choice = alias_choice(accounts.select("account"), aliases)
-    chosen = accounts.join(F.broadcast(choice.select("canonical", "account")), "account")
+    chosen = accounts.join(F.broadcast(choice.select("canonical", "account")), "account", "left")
     return chosen.groupBy("symbol").pivot("canonical", list(aliases)).agg(F.first("value"))
 
 

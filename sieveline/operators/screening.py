@@ -71,6 +71,8 @@ def screen(
     incomplete = F.col("total_assets") == 0
     for c in checked:
         incomplete = incomplete | F.col(f"`{c}`").isNull()
+        if companies.schema[c].dataType.typeName() in ("double", "float"):
+            incomplete = incomplete | F.isnan(F.col(f"`{c}`"))
 
     facts = companies.withColumns(
         {

@@ -73,11 +73,11 @@ def _ridge(matrix: np.ndarray, target: np.ndarray, ridge: float) -> np.ndarray:
 
 
 def _top_weights(matrix: np.ndarray, target: np.ndarray, ridge: float, top: int) -> np.ndarray:
-    """Weights with all but the ``top`` largest features left out and refitted."""
+    """Weights of the ``top`` largest features, refitted; NaN for those left out."""
     last = len(target) - 1
     full = _ridge(matrix, target, ridge)
     kept = np.append(np.sort(np.argsort(-np.abs(full[:last]), kind="stable")[:top]), last)
-    out = np.zeros(len(target))
+    out = np.full(len(target), np.nan)
     out[kept] = _ridge(matrix[np.ix_(kept, kept)], target[kept], ridge)
     return out
 
@@ -161,4 +161,4 @@ def local_surrogate(
         ]
     )
     intercept = F.get("weights", F.lit(len(names))).alias("intercept")
-    return solved.select(key, intercept, F.inline(F.filter(rows, lambda r: r["weight"] != 0.0)))
+    return solved.select(key, intercept, F.inline(F.filter(rows, lambda r: ~F.isnan(r["weight"]))))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STATEMENT_YEARS = ("1995", "1996", "1997", "1998")
+STATEMENT_YEARS = ("1995", "1996", "1997", "1998", "1999", "2000", "2001")
 ACCOUNTS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 

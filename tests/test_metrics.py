@@ -148,7 +148,7 @@ def test_bracketed_quantiles_are_exact(many_partitions, accuracy):
     b = np.where(np.arange(3000) % 3 == 0, 0.5, rng.random(3000))
     shares = [0.0, 0.25, 0.5, 0.77, 1.0]
     df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
-    found = exact_quantiles(df, ["a", "b"], shares, accuracy, rank_all_below=0)
+    found = exact_quantiles(df, ["a", "b"], shares, accuracy)
     got = {(r.feature, r.share): r["quantile"] for r in found.collect()}
     assert len(got) == 10
     for name, values in (("a", a), ("b", b)):

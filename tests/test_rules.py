@@ -204,3 +204,32 @@ def test_recommendations(spark):
         "Monitoring": "NOTE", "Updates": "NOTE",
     }
     assert advice(0.5, 0.95, 0.3)["Confidence"] == "HIGH"
+
+
+NAN = float("nan")
+
+
+def test_nan_fails_label_rules_like_null(spark):
+    from sieveline.operators.labeling import with_financial_rules
+
+    cols = "debt_to_assets double, f_riba double, f_nonhalal double, roa double, equity_ratio double"
+    df = spark.createDataFrame([(0.1, 0.1, 0.0, NAN, NAN), (0.1, 0.1, 0.0, 0.1, 0.5), (NAN, NAN, NAN, 0.1, 0.5)], cols)
+    got = [(r.profitability_ok, r.equity_ok, r.debt_to_assets_ok, r.financial_compliant) for r in with_financial_rules(df).collect()]
+    assert got == [(False, False, True, 0), (True, True, True, 1), (True, True, False, 0)]
+
+
+def test_nan_is_not_above_a_guardrail_or_tier(spark):
+    df = spark.createDataFrame([("OTHER", NAN, NAN), ("OTHER", 0.9, 0.0)], "sector string, f_riba double, f_nonhalal double")
+    assert [r[0] for r in df.select(G.guardrail_decision()).collect()] == [1, 0]
+    tiers = spark.createDataFrame([(NAN,), (0.9,)], "probability double").select(G.probability_tier())
+    assert [r[0] for r in tiers.collect()] == ["non_compliant", "compliant"]
+
+
+def test_companies_without_an_alias_and_the_debt_fallback(spark):
+    from sieveline.operators.features import feature_table
+    from sieveline.operators.reshape import canonical_amounts
+
+    accounts = spark.createDataFrame([("a", "Total_Assets", 5.0), ("b", "Unknown", 1.0)], "symbol string, account string, value double")
+    assert {r.symbol: r.total_assets for r in canonical_amounts(accounts).collect()} == {"a": 5.0, "b": None}
+    companies = spark.createDataFrame([("a", 100.0, 0.0, 40.0)], "symbol string, total_assets double, total_liabilities double, Total_Debt double")
+    assert feature_table(companies).first().total_liabilities == 40.0
