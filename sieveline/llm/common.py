@@ -9,8 +9,8 @@ from sieveline.sources.staging import stage, staged_path
 
 __all__ = ["bare_words", "fresh", "lower_ascii", "stage", "staged_path", "table", "unit_hash"]
 
-# Separators of words: space and the ASCII controls tab to carriage return.
-BLANKS = r"[\x20\x09-\x0D]+"
+# Separators of words besides the space: the ASCII controls tab to carriage return.
+BLANKS = "\t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -33,7 +33,8 @@ def lower_ascii(c: str | Column) -> Column:
 def bare_words(c: str | Column) -> Column:
     """The words of a text as an array; null counts as empty."""
     c = c if isinstance(c, Column) else F.col(c)
-    return F.filter(F.split(F.coalesce(c, F.lit("")), BLANKS), lambda w: w != "")
+    plain = F.translate(F.coalesce(c, F.lit("")), BLANKS, " " * len(BLANKS))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def unit_hash(key: Column, seed: int) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import BLANKS, fresh, stage, unit_hash
+from sieveline.llm.common import bare_words, fresh, stage, unit_hash
 
 MAX_SWEEPS = 30
 TOLERANCE = 1e-12
@@ -37,10 +37,7 @@ def topic_of(text: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """Number of runs without ASCII blanks; null counts as empty."""
-    squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")
-    blanks = F.length(squeezed) - F.length(F.translate(squeezed, " ", ""))
-    inner = blanks - squeezed.startswith(" ").cast("int") - squeezed.endswith(" ").cast("int")
-    return F.when(squeezed.isin("", " "), 0).otherwise(inner + 1).cast("long")
+    return F.size(bare_words(text)).cast("long")
 
 
 def tempered(cells: DataFrame, column: str, power: float, least: float = 0.0) -> dict[str, float]:
@@ -148,6 +145,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     topic: Column | None = None,
+    tokens: Column | None = None,
 ) -> DataFrame:
     """``docs`` with topic, n_tokens, weight, probability, sampled and sample_weight.
 
@@ -159,6 +157,10 @@ def mix(
     drawn keeps weighted marginals at the targets. Probabilities are by cell: documents
     that repeat an id are drawn together, and null ids too.
 
+    ``topic`` and ``tokens`` replace what is read from the text. The rows are
+    read twice, for the cells and for the result, so a caller that needs no
+    texts in the result should pass both, taken once.
+
     A null source or language is the value ``unknown``. Documents without
     tokens change no share and follow their cell; if a cell has no tokens at
     all, its weight is 0. Added columns get other names where ``docs`` has the
@@ -172,7 +174,7 @@ def mix(
             inner["source"]: unknown("source"),
             inner["lang"]: unknown("lang"),
             inner["topic"]: topic_of(docs[text_col]) if topic is None else topic,
-            names["n_tokens"]: token_count(docs[text_col]),
+            names["n_tokens"]: token_count(docs[text_col]) if tokens is None else tokens,
         }
     )
     by = list(inner.values())

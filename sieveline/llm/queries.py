@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm import ctw, decontaminate, extract, mixing, secrets, simhash, topk, toxicity, urlfilter, warc
-from sieveline.llm.common import table
+from sieveline.llm.common import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,8 +80,10 @@ SELECT doc_id, source, lang, topic, n_tokens, round(w, 6) AS weight, round(p, 6)
 
 @query("op1_mixing_to_target_weights", _mixing_sql())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    mixed = mixing.mix(docs, MIX_POWERS, MIX_SHARE, MIX_SEED)
+    texts = table(spark, sf_dir, "documents")
+    read = [mixing.topic_of(F.col("text")).alias("subject"), mixing.token_count(F.col("text")).alias("words")]
+    docs = stage(texts.select("doc_id", "source", "lang", *read), "mix")
+    mixed = mixing.mix(docs, MIX_POWERS, MIX_SHARE, MIX_SEED, topic=F.col("subject"), tokens=F.col("words"))
     unknown = lambda c: F.coalesce(c, F.lit("unknown")).alias(c)
     numbers = [F.round(c, 6).alias(c) for c in ("weight", "probability", "sample_weight")]
     return mixed.select("doc_id", unknown("source"), unknown("lang"), "topic", "n_tokens", "sampled", *numbers)
