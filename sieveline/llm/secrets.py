@@ -14,6 +14,7 @@ from sieveline.llm.common import bare_words, fresh, stage
 LONG, SHORT = 16, 8
 #: Documents that lend words and numbers to the labelled findings, the lowest hashes of their ids.
 FIT_DOCUMENTS = 400
+LENT_WORDS = 7
 TREES, DEPTH = 40, 8
 THRESHOLD = 0.5
 MASK = "[SECRET]"
@@ -116,17 +117,30 @@ def with_features(found: DataFrame) -> DataFrame:
     )
 
 
+def _lowest(ids: DataFrame, n: int) -> DataFrame:
+    """The ``n`` ids with the lowest hashes.
+
+    Hashes are uniform, so a cut at twice the share of ``n`` in the counted ids
+    leaves about 2 n of them at every size, and only those are sorted.
+    """
+    count = ids.agg(F.approx_count_distinct("id")).first()[0]
+    cut = min(2**64 * 2 * n // max(count, 1), 2**64 - 1) - 2**63
+    few = ids.where(F.xxhash64("id") <= cut).distinct()
+    return few.orderBy(F.xxhash64("id"), "id").limit(n)
+
+
 def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = FIT_DOCUMENTS) -> DataFrame:
     """(text, label) of findings with known answers: secrets, and strings that only look like them.
 
-    Words come from ``documents`` rows of ``docs`` at most, random characters
-    from digests of their ids, so the set has the language of the corpus. With
-    no rows there are no findings.
+    Words come from ``documents`` ids of ``docs`` at most, random characters
+    from digests of their ids, so the set has the language of the corpus. Rows
+    that repeat an id lend the smallest of their word lists; null ids are one
+    id. With no rows there are no findings.
     """
     base = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
-    base = base.orderBy(F.xxhash64("id"), "id").limit(documents)
-    words = F.filter(bare_words(F.substring("text", 1, 2000)), lambda w: w.rlike(r"^\w{3,}$"))
-    base = base.select("id", words.alias("w"))
+    words = F.filter(bare_words("text"), lambda w: w.rlike(r"^\w{3,}$"))
+    lent = base.join(F.broadcast(_lowest(base.select("id"), documents)), "id")  # ``documents`` ids at most
+    base = lent.select("id", F.slice(words, 1, LENT_WORDS).alias("w")).groupBy("id").agg(F.min("w").alias("w"))
     pick = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit("lorem"))
     h = lambda salt: F.sha1(F.concat("id", F.lit(f"|{salt}")))
     b64 = lambda salt, n: F.substring(F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat("id", F.lit(f"|{salt}")), 256))), r"\s", ""), 1, n)

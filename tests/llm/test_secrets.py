@@ -48,6 +48,17 @@ def test_the_tables_secrets_and_nothing_else(spark, model):
     assert {tuple(r) for r in got} == {tuple(r) for r in hits.distinct().collect()} and got
 
 
+def test_ids_that_lend_words(spark):
+    ids = spark.range(20_000).select(F.col("id").cast("string").alias("id"))
+    want = [r.id for r in ids.orderBy(F.xxhash64("id"), "id").limit(40).collect()]
+    got = [r.id for r in S._lowest(ids.union(ids), 40).collect()]
+    assert sorted(got) == sorted(want)
+    assert S._lowest(ids.limit(3), 40).count() == 3 and S._lowest(ids.limit(0), 40).count() == 0
+    docs = spark.createDataFrame([(1, "beta beta beta"), (1, "alpha"), (None, None)], "doc_id long, text string")
+    made = {r.text.split()[0] for r in S.labelled_findings(docs).collect()}
+    assert made == {"lorem"} and S.labelled_findings(docs).count() == S.labelled_findings(docs.limit(1)).count() * 2
+
+
 def test_redaction(spark, model):
     rows = [(1, f'x token = "{HEX}" y {HEX}', 9, "k"), (1, f'x token = "{HEX}" y {HEX}', 9, "k"), (None, None, None, None), (2, "", 0, "q"), (3, "card 1234567812345678", 21, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, digest string")
