@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, an upper bound on the score, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -13,12 +13,6 @@ from pyspark.sql import functions as F
 
 
 SEED_WORDS = 3
-#: Every run of this many n-grams of an item keeps its rarest as a seed.
-WINDOW = 4
-#: N-grams in at most this share of the documents are seeds in any case.
-RARE_SHARE = 0.001
-#: And those in at most so many, whatever the share.
-RARE_DOCUMENTS = 10
 #: Least alignment score, as a share of the score of the whole item.
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -75,8 +69,6 @@ class Items:
             raise ValueError("too many different words in a block of items")
         self.items = [np.array([self.ids[w] for w in ws], dtype=np.int64) for ws in words]
         self.grams = [self.codes(i) for i in self.items]
-        self.known = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(0, np.int64)
-
     def numbers(self, text: str | None) -> np.ndarray:
         ws = words_of(text)
         return np.fromiter(map(self.ids.get, ws, [0] * len(ws)), dtype=np.int64, count=len(ws))
@@ -92,32 +84,53 @@ class Items:
             known &= part > 0
         return np.where(known, out, 0)
 
-    def seeds(self, counts: dict[int, int], documents: int, share: float = RARE_SHARE, window: int = WINDOW) -> "Seeds":
-        """The rare n-grams that documents hold, and in each window of an item the rarest of them however frequent."""
+    def seeds(self) -> "Seeds":
+        """Every n-gram of every item."""
         places = defaultdict(list)
         for item, grams in enumerate(self.grams):
-            often = np.array([counts.get(int(g), 0) for g in grams])
-            chosen = often <= max(share * documents, RARE_DOCUMENTS)
-            for at in range(max(1, len(grams) - window + 1) if len(grams) else 0):
-                part = often[at : at + window]
-                chosen[at : at + window] |= part == part[part > 0].min(initial=documents + 1)
-            # What no document holds can't lead to one.
-            for at in np.flatnonzero(chosen & (often > 0)):
-                places[int(grams[at])].append((item, int(at)))
+            for at, gram in enumerate(grams.tolist()):
+                places[gram].append((item, at))
         return Seeds(self, places)
 
 
+def _bound(good: np.ndarray) -> int:
+    """At least the score of any alignment of a sequence whose words have a partner only where ``good``.
+
+    A word inside an alignment gains MATCH at most with a partner, and costs a
+    mismatch or a gap without one, so the best run of such gains is a bound.
+    """
+    total = np.concatenate(([0], np.cumsum(np.where(good, MATCH, max(MISMATCH, GAP)))))
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 class Seeds:
     """Finds passages of items in texts."""
 
     def __init__(self, items: Items, places: dict[int, list[tuple[int, int]]]):
-        self.items, self.places = items, dict(places)
+        self.items = items
         self.codes = np.array(sorted(places), dtype=np.int64)
-        seeds = defaultdict(set)
-        for where in places.values():
-            for item, at in where:
-                seeds[item].add(at)
-        self.needed = {item: min(2, len(at)) for item, at in seeds.items()}
+        # Items and offsets of seed number i stand at ends[i]:ends[i + 1].
+        flat = [where for code in self.codes.tolist() for where in places[code]]
+        self.item, self.offset = np.array(flat, dtype=np.int64).reshape(-1, 2).T
+        self.ends = np.cumsum([0, *(len(places[code]) for code in self.codes.tolist())])
+        self.member = np.zeros(items.base, dtype=bool)
+
+    def _hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(items, diagonals) of the seeds among the n-grams of a text, in order."""
+        seed = np.minimum(np.searchsorted(self.codes, grams), len(self.codes) - 1)
+        at = np.flatnonzero(self.codes[seed] == grams)
+        first, n = self.ends[seed[at]], np.diff(self.ends)[seed[at]]
+        row = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        item, diagonal = self.item[row], np.repeat(at, n) - self.offset[row]
+        order = np.lexsort((diagonal, item))
+        return item[order], diagonal[order]
+
+    def can_reach(self, word_ids: np.ndarray, passage: np.ndarray, least: float) -> bool:
+        """Whether an alignment of an item in a passage may score ``least``, by the words they share."""
+        self.member[word_ids] = True
+        enough = _bound(self.member[passage]) >= least
+        self.member[word_ids] = False
+        return enough and _bound(np.isin(word_ids, passage)) >= least
 
     def find(self, text: str | None, min_score: float = MIN_SCORE) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, words) of the best passage of each item found in a text."""
@@ -125,30 +138,26 @@ class Seeds:
         grams = self.items.codes(ids)
         if not len(grams) or not len(self.codes):
             return []
-        at = np.flatnonzero(self.codes[np.minimum(np.searchsorted(self.codes, grams), len(self.codes) - 1)] == grams)
-        hits = defaultdict(list)
-        for p in at:
-            for item, offset in self.places[int(grams[p])]:
-                hits[item].append((int(p) - offset, offset))
+        items, diagonals = self._hits(grams)
         out = []
-        for item, found in hits.items():
-            word_ids = self.items.items[item]
-            slack, best = max(3, len(word_ids) // 4), None
-            found.sort()
-            group = [found[0]]
-            for hit in [*found[1:], (float("inf"), 0)]:
-                # Hits of one copy lie near one diagonal.
-                if hit[0] - group[-1][0] <= slack:
-                    group.append(hit)
+        starts = np.flatnonzero(np.diff(items, prepend=-1))
+        for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(items)]):
+            item, at = int(items[start]), diagonals[start:stop]
+            word_ids, best = self.items.items[item], None
+            perfect = MATCH * len(word_ids)
+            # Each step off the seed's diagonal costs a gap, so a passage that scores enough leaves it by no more than this.
+            slack = max(3, int(perfect * (1 - min_score)) // -GAP)
+            cuts = np.flatnonzero(np.diff(at) > slack) + 1
+            for near in np.split(at, cuts):
+                low = max(0, int(near[0]) - slack)
+                passage = ids[low : int(near[-1]) + len(word_ids) + slack]
+                # A later passage counts only if it is better.
+                least = min_score * perfect if best is None else best[1] * perfect + 1
+                if not self.can_reach(word_ids, passage, least):
                     continue
-                if len({o for _, o in group}) >= self.needed[item]:
-                    low = max(0, group[0][0] - slack)
-                    passage = ids[low : group[-1][0] + len(word_ids) + slack]
-                    score, start, end = align(word_ids, passage)
-                    share = score / (MATCH * len(word_ids))
-                    if share >= min_score and (best is None or share > best[1]):
-                        best = (item, share, low + start, end - start)
-                group = [hit]
+                score, first, end = align(word_ids, passage)
+                if score / perfect >= min_score and (best is None or score / perfect > best[1]):
+                    best = (item, score / perfect, low + first, end - first)
             if best:
                 out.append(best)
         return out
@@ -168,28 +177,6 @@ def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[Da
             yield ids, [r.text for r in block]
 
 
-def learn_seeds(docs: DataFrame, texts: list[str | None], text_col: str) -> Seeds:
-    """Seeds of a block of items, with document counts taken over all of ``docs``."""
-    items = Items(texts)
-
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, rows = np.zeros(len(items.known), np.int64), 0
-        for part in parts:
-            rows += len(part)
-            for text in part["text"]:
-                grams = items.codes(items.numbers(text))
-                if len(grams) and len(items.known):
-                    at = np.minimum(np.searchsorted(items.known, grams), len(items.known) - 1)
-                    seen[np.unique(at[items.known[at] == grams])] += 1
-        there = np.flatnonzero(seen)
-        yield pd.DataFrame({"gram": np.append(items.known[there], -1), "n": np.append(seen[there], rows)})
-
-    found = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "gram long, n long")
-    # One row for each n-gram of the block at most.
-    counts = {r.gram: int(r.n) for r in found.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-    return items.seeds(counts, counts.pop(-1, 0))
-
-
 def find_copies(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -201,12 +188,12 @@ def find_copies(
 ) -> DataFrame:
     """(id, item_id, score, first_word, n_words) for each document and item it holds a copy of.
 
-    N-grams of three words that are rare in the documents, and in every four
-    consecutive n-grams of an item the rarest, are looked up in each document;
-    where at least two seeds of an item lie near one diagonal, the passage is
+    Every n-gram of three words of an item is looked up in each document. Where
+    the words shared around a hit could reach the least score, the passage is
     aligned with the item word by word. The score is the alignment's share of
-    a perfect one; the first best passage of a document is returned. Frequent
-    items keep seeds, so a copy in many documents is found in all of them.
+    a perfect one; the first best passage of a document is returned. No n-gram
+    is too frequent to lead to a passage, so a copy in many documents is found
+    in all of them, edited or not.
 
     Items pass in blocks of bounded size, each through all documents, which are
     never shuffled. Null and empty texts and items of less than three words
@@ -221,7 +208,7 @@ def find_copies(
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType
     for ids, texts in _blocks(benchmark, item_col, item_text_col):
-        seeds = learn_seeds(rows, texts, "text")
+        seeds = Items(texts).seeds()
 
         def search(parts: Iterator[pd.DataFrame], seeds=seeds) -> Iterator[pd.DataFrame]:
             for part in parts:
@@ -248,5 +235,5 @@ def contamination_column(text: Column, seeds: Seeds, min_score: float = MIN_SCOR
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without the rows that hold a copy of an item; columns and other rows as they are."""
     for _, texts in _blocks(benchmark, "item_id", "text"):
-        docs = docs.where(contamination_column(F.col(text_col), learn_seeds(docs, texts, text_col), min_score) < min_score)
+        docs = docs.where(contamination_column(F.col(text_col), Items(texts).seeds(), min_score) < min_score)
     return docs

@@ -55,3 +55,26 @@ def test_blocks_give_what_one_block_gives(spark, monkeypatch):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     monkeypatch.setattr(D, "BLOCK_WORDS", 20)
     assert sorted((r.doc_id, r.item_id) for r in D.find_copies(docs, bench).collect()) == [(i, i) for i in range(12)]
+
+
+def test_edited_copies_of_a_frequent_item_are_all_found(spark):
+    random.seed(1)
+    words = D.words_of(ITEM)[:15]
+    edit = lambda: " ".join(random.choice(["foo", "bar", "baz", "qux"]) if random.random() < 0.25 else w for w in words)
+    texts = [f"start{i} {edit()} end" for i in range(300)]
+    ids = {w: i + 1 for i, w in enumerate(words)}
+    item = [ids[w] for w in words]
+    scores = [smith_waterman(item, [ids.get(w, 0) for w in t.split()]) for t in texts]
+    want = {i for i, s in enumerate(scores) if s >= D.MIN_SCORE * D.MATCH * len(item)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in D.find_copies(docs, bench).collect()}
+    assert got == {i: scores[i] / (D.MATCH * len(item)) for i in want} and 200 < len(want) < 300
+    assert {r.doc_id for r in D.decontaminate(docs, bench).collect()} == set(range(300)) - want
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=12), st.lists(st.integers(0, 4), min_size=1, max_size=14))
+def test_no_passage_that_scores_is_passed_over(a, b):
+    seeds = D.Items(["one two three four"]).seeds()
+    assert seeds.can_reach(np.array(a, np.int64), np.array(b, np.int64), smith_waterman(a, b))
