@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -26,7 +28,12 @@ OTHER_WORDS = (
     r"(?:commit|sha\d*|md5|hash|checksum|digest|etag|uuid|guid|version|release|build|order|invoice|isbn|page|ref|id|"
     r"phone|tel|card|account|mail|ip|see|http\w*|path|file|image)"
 )
-ASSIGNED = rf"(?i){SECRET_WORDS}[\"']?\s*[=:]+\s*[\"']?$"
+SIGN = "[=:]+>?"
+ASSIGNED = rf"(?i){SECRET_WORDS}[\"']?\s*{SIGN}\s*[\"']?$"
+#: A word that says what the next one is without a sign: the next needs a digit, and none after Bearer.
+NAMED, BEARER = r"(?i)(^|[^a-z])(passw\w*|passphrase|pwd|token|secret)$", r"(?i)(^|[^a-z])bearer$"
+#: A quoted value ends within so many words.
+QUOTED_WORDS = 16
 # --- fixed values: words and letter pairs of ordinary strings -------------------
 DICTIONARY = (
     "account admin api article auth blog build change com config content data default demo dummy example file from here home "
@@ -38,48 +45,66 @@ PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng
 
 FEATURES = (
     "length", "digits", "upper", "symbols", "changes", "pairs", "variety", "words", "hex", "numeric", "slashes", "dots",
-    "dashes", "secret_before", "other_before", "assigned", "quoted", "url_before", "repeats",
+    "dashes", "secret_before", "other_before", "assigned", "quoted", "url_before", "repeats", "marks", "blanks",
 )
 
 
 def suspicious(text: Column) -> Column:
-    """Whether a text can hold a candidate at all: it has a digit or a secret's keyword before a sign."""
-    return F.coalesce(text.rlike(rf"[0-9]|(?i){SECRET_WORDS}[\"']?\s*[=:]"), F.lit(False))
+    """Whether a text can hold a candidate at all: it has a digit, a secret's keyword before a sign, or a bearer."""
+    return F.coalesce(text.rlike(rf"[0-9]|(?i){SECRET_WORDS}[\"']?\s*[=:]|(?i)bearer\s"), F.lit(False))
 
 
 def candidates(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(kept columns, word, candidate, before): strings that may be secrets.
 
     A candidate is a run of letters, digits and ``+/_=.~-``: of 16 or more with
-    a digit among them, or of 8 or more assigned to a word like ``token`` or
-    ``password``. ``word`` is the number of its word, ``before`` the three words
+    a digit among them or after ``Bearer``, or of 8 or more assigned to a word
+    like ``token`` or ``password``, or with a digit right after ``password``.
+    What is assigned is a candidate as a whole too, whatever its characters: a
+    value in quotes with its blanks, each counted as one, or all up to the next
+    blank. ``word`` is the number of its word, ``before`` the three words
     before and what stands in its word before it. Closing dots don't belong to
-    it. Texts without digit or keyword are passed over unread.
+    it, nor do commas, semicolons, colons, brackets and quotes that close an
+    unquoted value. Texts without digit, keyword or bearer are passed over unread.
     """
     words = F.col("_words")
     at = lambda i: F.get(words, i)
-    sign = lambda w: w.rlike(r"[=:][\"']?$")
+    after = lambda i, pattern: (i > 0) & at(i - 1).rlike(pattern)
+    signed = rf"{SIGN}[\"']?$"
     worth = lambda i: (
-        ((F.length(at(i)) >= LONG) & at(i).rlike("[0-9]"))
-        | ((F.length(at(i)) >= SHORT) & (at(i).rlike("[=:]") | ((i > 0) & sign(at(i - 1)))))
+        ((F.length(at(i)) >= LONG) & (at(i).rlike("[0-9]") | after(i, BEARER)))
+        | ((F.length(at(i)) >= SHORT) & (at(i).rlike("[=:]") | after(i, signed) | after(i, NAMED)))
+        | at(i).rlike(rf"(?i){SECRET_WORDS}[\"']?{SIGN}[\"']") | (at(i).rlike("^[\"']") & after(i, signed))
     )
     spot = lambda i: F.struct(
         i.alias("word"), at(i).alias("full"),
         F.array_join(F.slice(words, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ").alias("left"),
+        F.array_join(F.slice(words, i + 1, F.lit(QUOTED_WORDS)), " ").alias("line"),
     )
     rows = docs.where(suspicious(F.col(text_col))).select(*keep, bare_words(text_col).alias("_words"))
     numbers = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
     spots = rows.select(*keep, F.explode(F.transform(F.filter(numbers, worth), spot)).alias("_s")).select(*keep, "_s.*")
-    runs = F.regexp_extract_all("full", F.lit(rf"({CHARS}{{{SHORT},}})"), 1)
-    found = spots.select(*keep, "word", "full", "left", F.explode(F.array_distinct(runs)).alias("run"))
+
     # An assignment written without blanks is one run: what follows its first sign is the value.
-    value = F.regexp_extract("run", r"^[A-Za-z_][\w.-]{0,40}=+([^=].*)$", 1)
-    bare = F.regexp_replace(F.when(value != "", value).otherwise(F.col("run")), r"^\.+|\.+$", "")
-    found = found.withColumn("candidate", bare).where(F.length("candidate") >= SHORT)
-    inside = F.substring("full", F.lit(1), F.instr("full", F.col("candidate")) - 1)
-    found = found.withColumn("before", F.concat_ws(" ", "left", inside))
-    long = (F.length("candidate") >= LONG) & F.col("candidate").rlike("[0-9]")
-    return found.where(long | F.col("before").rlike(ASSIGNED)).select(*keep, "word", "candidate", "before")
+    value = lambda run: F.regexp_extract(run, r"^[A-Za-z_][\w.-]{0,40}=+([^=].*)$", 1)
+    bare = lambda run: F.regexp_replace(F.when(value(run) != "", value(run)).otherwise(run), r"^\.+|\.+$", "")
+    inside = lambda c: F.substring(F.col("full"), F.lit(1), F.instr("full", c) - 1)
+    piece = lambda c: F.struct(c.alias("candidate"), F.concat_ws(" ", "left", inside(c)).alias("before"))
+    runs = F.transform(F.regexp_extract_all("full", F.lit(rf"({CHARS}{{{SHORT},}})"), 1), bare)
+    long = lambda p: (F.length(p.candidate) >= LONG) & (p.candidate.rlike("[0-9]") | p.before.rlike(r"(?i)bearer\s*$"))
+    named = lambda p: p.candidate.rlike("[0-9]") & p.before.rlike(NAMED[:-1] + r"\s+$")
+    kept = lambda p: (F.length(p.candidate) >= SHORT) & (long(p) | named(p) | p.before.rlike(ASSIGNED))
+
+    # The whole value, from the opening quote or the sign on.
+    head = F.regexp_extract("full", rf"(?i)^(.*?{SECRET_WORDS}[\"']?{SIGN})[^=:>]", 1)
+    rest = F.substring(F.col("line"), F.length(head) + 1, F.length("line"))
+    quoted = F.coalesce(*(F.nullif(F.regexp_extract(rest, rf"^{q}([^{q}]+){q}", 1), F.lit("")) for q in "\"'"))
+    plain = F.regexp_replace(F.regexp_extract(rest, r"^[\"']?([^ ]*)", 1), r"[.,;:)\]}>\"']+$", "")
+    quote = F.regexp_extract(rest, "^([\"']?)", 1)
+    whole = F.struct(F.coalesce(quoted, plain).alias("candidate"), F.concat_ws(" ", "left", F.concat(head, quote)).alias("before"))
+    assigned = F.filter(F.array(whole), lambda p: (F.length(p.candidate) >= SHORT) & p.before.rlike(ASSIGNED))
+    both = F.array_union(F.filter(F.transform(runs, piece), kept), assigned)
+    return spots.select(*keep, "word", F.explode(both).alias("_p")).select(*keep, "word", "_p.candidate", "_p.before")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -112,6 +137,8 @@ def with_features(found: DataFrame) -> DataFrame:
             "assigned": flag(b.rlike(r"[=:][\"'\s]*$")),
             "quoted": flag(b.rlike(r"[\"']$")),
             "url_before": flag(b.rlike(r"(://|www\.|@)\S*$")),
+            "marks": share(r"[^A-Za-z0-9+/_=.~\s-]"),
+            "blanks": share(r"\s"),
             "repeats": (n - F.length(F.regexp_replace(c, r"(.)\1{2,}", "$1"))) / n,
         }
     )
@@ -145,6 +172,8 @@ def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     h = lambda salt: F.sha1(F.concat("id", F.lit(f"|{salt}")))
     b64 = lambda salt, n: F.substring(F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat("id", F.lit(f"|{salt}")), 256))), r"\s", ""), 1, n)
     num = lambda salt, n: F.substring(F.translate(h(salt), "abcdef", "012345"), 1, n)
+    signs = lambda salt, n: F.translate(b64(salt, n), "aeimquyCGKOSW37+/", "!@#$%^&*?!@#$%^&*")
+    letters = lambda salt, n: F.translate(b64(salt, n), "0123456789+/=", "ghijkmnpqrstu")
     t = F.concat
     lit = F.lit
     secret = [
@@ -159,6 +188,16 @@ def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         t(lit('"auth_token": "'), F.substring(h("i"), 1, 32), lit('",')),
         t(lit("pwd: "), b64("j", 12)),
         t(lit("credential = "), F.substring(h("k"), 1, 24)),
+        t(lit('password = "'), signs("ba", 16), lit('"')),
+        t(lit("DB_PASSWORD="), signs("bb", 12)),
+        t(lit("password => '"), signs("bc", 10), lit("'")),
+        t(lit("password: "), pick(0), lit("!"), pick(1), lit("#"), num("bd", 1)),
+        t(lit('passwd = "'), b64("be", 6), lit("!"), pick(0), lit("#"), num("bf", 4), lit('"')),
+        t(lit("pwd="), pick(0), num("bg", 2), lit("$"), pick(1), lit("&")),
+        t(lit('passphrase: "'), pick(0), lit(" "), pick(1), lit("! "), num("bh", 3), lit(" "), pick(2), lit('"')),
+        t(lit("Authorization: Bearer "), letters("bi", 32)),
+        t(lit("password "), F.lower(b64("bj", 7)), num("bk", 1), F.lower(b64("bl", 2))),
+        t(lit("password => "), F.lower(b64("bm", 7)), num("bn", 1), F.lower(b64("bo", 2))),
     ]
     other = [
         t(lit("commit "), h("l")),
@@ -181,6 +220,14 @@ def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         t(lit("key: "), pick(0), lit("/"), pick(1), lit("-"), pick(2), num("ac", 1)),
         t(lit("secret: "), pick(0), pick(1), pick(2)),
         t(lit("page="), num("ad", 8), lit("&"), pick(0), lit("="), pick(1)),
+        t(lit('password = "${'), F.upper(pick(0)), lit('_PASSWORD}"')),
+        t(lit("password=<your-"), F.lower(pick(0)), lit("-password>")),
+        t(lit("token: {{"), pick(0), lit("."), pick(1), lit("}}")),
+        t(lit('secret: "'), pick(0), lit(" "), pick(1), lit(" "), pick(2), lit('"')),
+        t(lit('author: "'), pick(0), lit(" "), pick(1), lit('"')),
+        t(lit("key: "), pick(0), lit("("), pick(1), lit(")")),
+        t(lit("password "), pick(0), pick(1), num("bp", 4)),
+        t(lit("bearer "), pick(0), pick(1), pick(2), pick(3)),
         t(lit("phone +1-"), num("ae", 3), lit("-555-"), num("af", 4), lit("-"), num("ag", 4)),
     ]
     row = lambda text, label: F.struct(
@@ -237,7 +284,11 @@ def redact(docs: DataFrame, model: PipelineModel | None, text_col: str = "text",
     longest = lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0)
     per_text = stage(secrets.groupBy("_key").agg(F.array_sort(F.collect_list("candidate"), longest).alias("_secrets")), "secrets")
     joined = maybe.join(per_text, maybe[mark] == per_text["_key"], "left")
-    clean = F.aggregate("_secrets", F.col(text_col), lambda text, s: F.replace(text, s, F.lit(mask)))
+    # A blank in a secret stands for any run of blanks.
+    quoted = lambda s: F.concat(F.lit(r"\Q"), F.replace(F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(" "), F.lit(r"\E[\x20\x09-\x0D]+\Q")), F.lit(r"\E"))
+    spaced = lambda text, s: F.regexp_replace(text, quoted(s), F.lit(re.sub(r"([\\$])", r"\\\1", mask)))
+    masked = lambda text, s: F.when(F.contains(s, F.lit(" ")), spaced(text, s)).otherwise(F.replace(text, s, F.lit(mask)))
+    clean = F.aggregate("_secrets", F.col(text_col), masked)
     made = joined.withColumn(text_col, F.when(F.col("_secrets").isNull(), F.col(text_col)).otherwise(clean))
     if chars_col in docs.columns:
         counted = F.length(F.col(text_col)).cast(docs.schema[chars_col].dataType)
