@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import ctw, decontaminate, extract, mixing, secrets, simhash, topk, toxicity, urlfilter, warc
+from sieveline.llm import ctw, decontaminate, extract, mixing, secrets, simhash, topk, toxicity, urlfilter, warc, whiten
 from sieveline.llm.common import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,3 +192,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_context_tree_score")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_documents(table(spark, sf_dir, "documents"), toxicity.in_fold("doc_id", 5, 1))
+
+
+# --- whitening -------------------------------------------------------------------
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond a long is null; the operator has it as a decimal."""
+    made = whiten.whiten(table(spark, sf_dir, "embeddings"))
+    return made.withColumn("deviation", F.col("deviation").try_cast("long"))
