@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import ctw, decontaminate, extract, mixing, secrets, simhash, topk, toxicity, urlfilter, warc, whiten
+from sieveline.llm import conversation, ctw, decontaminate, extract, mixing, secrets, simhash, topk, toxicity, urlfilter, warc, whiten
 from sieveline.llm.common import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,3 +200,71 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deviation beyond a long is null; the operator has it as a decimal."""
     made = whiten.whiten(table(spark, sf_dir, "embeddings"))
     return made.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+# --- conversation repair ---------------------------------------------------------
+_END = "chr(1)"  # between a state's cost and audit, compared as one string, and its text
+
+
+def _edit(v: str, cost: str, letter: str, line: str) -> str:
+    at = f"strpos({v}, {_END})"
+    return (
+        f"(printf('%010d', CAST(substr({v}, 1, 10) AS BIGINT) + {cost}) || substr({v}, 11, {at} - 11) || '{letter}' || {_END}"
+        f" || substr({v}, {at} + 1) || {line})"
+    )
+
+
+def _conversation_sql() -> str:
+    insert = lambda v, role: _edit(v, "2", "I", f"chr(10) || '{role}:'")
+    delete = lambda v: _edit(v, "3", "D", "''")
+    kept = lambda v: _edit(v, "more", "K", "chr(10) || role || ':' || text")
+
+    def says(v: str, role: str) -> str:
+        changed = _edit(v, "(2 + more)", "R", f"chr(10) || '{role}:' || text")
+        return f"CASE WHEN must THEN NULL WHEN initial = '{role[0]}' THEN {kept(v)} ELSE {changed} END"
+
+    def closed(source: str) -> str:
+        """The states of ``source`` (w0 to w3) with the insertions that improve them."""
+        x2 = f"least(w2, {insert('w0', 'user')}, {insert('w1', 'user')}, {insert('w3', 'user')})"
+        one = f"SELECT *, {x2} AS x2 FROM ({source})"
+        two = f"SELECT *, least(w3, {insert('x2', 'assistant')}) AS x3 FROM ({one})"
+        return f"SELECT key, n, w0 AS v0, w1 AS v1, least(x2, {insert('x3', 'user')}) AS v2, x3 AS v3 FROM ({two})"
+
+    moved = f"""SELECT s.key, s.n + 1 AS n, {delete('v0')} AS w0,
+  least({delete('v1')}, CASE WHEN NOT must AND initial = 's' THEN {kept('v0')} END) AS w1,
+  least({delete('v2')}, {says('v0', 'user')}, {says('v1', 'user')}, {says('v3', 'user')}) AS w2,
+  least({delete('v3')}, {says('v2', 'assistant')}) AS w3
+  FROM s JOIN r ON r.key = s.key AND r.n = s.n + 1"""
+    first = f"SELECT DISTINCT key, 0 AS n, '0000000000' || {_END} AS w0, NULL::VARCHAR AS w1, NULL::VARCHAR AS w2, NULL::VARCHAR AS w3 FROM r"
+    return rf"""
+WITH RECURSIVE bits AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+c AS (SELECT k.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: xor(c // 256, t[xor(c % 256, b) % 256 + 1])), 4294967295) % 20 AS fault FROM k, bits),
+d AS (SELECT conv_id, coalesce('=' || CAST(conv_id AS VARCHAR), '') AS key, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+  CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS time FROM c WHERE fault <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text) AS n,
+  NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM d),
+e AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY key, role, text ORDER BY n) > 1 AS duplicate FROM o),
+r AS MATERIALIZED (SELECT *, substr(role, 1, 1) AS initial, blank OR duplicate AS must,
+  NOT blank AND NOT duplicate AND regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS truncated,
+  CASE WHEN truncated THEN 1 ELSE 0 END AS more,
+  coalesce(lag(substr(role, 1, 1)) OVER (PARTITION BY key ORDER BY n) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal FROM e),
+s AS ({closed(first)} UNION ALL {closed(moved)}),
+f AS (SELECT key, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+  count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal FROM r GROUP BY key),
+g AS (SELECT key, gaps, blank, duplicate, truncated, illegal, least(v0, v3) AS v FROM f JOIN s USING (key, n)),
+h AS (SELECT *, strpos(v, {_END}) AS cut FROM g)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(substr(v, 1, 10) AS BIGINT), 0) AS cost,
+  coalesce(substr(v, 11, cut - 11), '') AS audit, sha256(coalesce(substr(v, cut + 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('=' || CAST(conv_id AS VARCHAR), '') AS key FROM conversations) AS i LEFT JOIN h USING (key)"""
+
+
+@query("op13_conversation_repair", _conversation_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = table(spark, sf_dir, "conversations")
+    return conversation.summarise(whole, conversation.repair(conversation.damage(whole)))
