@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import conversation, ctw, decontaminate, extract, mixing, secrets, simhash, topk, toxicity, urlfilter, warc, whiten
+from sieveline.llm import (
+    conversation,
+    ctw,
+    decontaminate,
+    extract,
+    mixing,
+    secrets,
+    setsketch,
+    simhash,
+    topk,
+    toxicity,
+    urlfilter,
+    warc,
+    whiten,
+)
 from sieveline.llm.common import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,3 +282,31 @@ FROM (SELECT DISTINCT conv_id, coalesce('=' || CAST(conv_id AS VARCHAR), '') AS
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = table(spark, sf_dir, "conversations")
     return conversation.summarise(whole, conversation.repair(conversation.damage(whole)))
+
+
+# --- SetSketch near-duplicates ---------------------------------------------------
+def _setsketch_sql() -> str:
+    """All pairs that share a shingle, counted; classes by spreading the smallest id along links."""
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(coalesce(low, ''), '[^\x20\x09-\x0D]+') AS words FROM t),
+s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+  ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS made FROM w),
+k AS MATERIALIZED (SELECT made_key, min(doc_id) AS node, any_value(made) AS made, len(any_value(made)) AS n
+  FROM (SELECT doc_id, made, md5(array_to_string(list_sort(made), chr(10))) AS made_key FROM s WHERE len(made) > 0) GROUP BY made_key),
+m AS (SELECT doc_id, made_key FROM (SELECT doc_id, md5(array_to_string(list_sort(made), chr(10))) AS made_key FROM s WHERE len(made) > 0)),
+g AS MATERIALIZED (SELECT node, n, unnest(made) AS shingle FROM k),
+p AS (SELECT a.node AS a, b.node AS b, a.n AS n_a, b.n AS n_b, count(*) AS common FROM g AS a JOIN g AS b USING (shingle)
+  WHERE a.node < b.node AND 100 * least(a.n, b.n) >= {setsketch.PERCENT} * greatest(a.n, b.n) GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * common >= {setsketch.PERCENT} * (n_a + n_b - common)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+c AS (SELECT a AS node, least(a, min(b)) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, len(s.made) AS n_shingles, coalesce(c.component_id, k.node, s.doc_id) AS component_id,
+  s.doc_id = coalesce(c.component_id, k.node, s.doc_id) AS kept
+FROM s LEFT JOIN m USING (doc_id) LEFT JOIN k USING (made_key) LEFT JOIN c ON c.node = k.node"""
+
+
+@query("op12_setsketch_near_duplicates", _setsketch_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
