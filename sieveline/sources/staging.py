@@ -38,7 +38,24 @@ def stage(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = staged_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.staged_at = path
+    return made
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unstage(*tables: DataFrame | None) -> None:
+    """Delete staged tables that newer ones have replaced; nothing that is still to run may read them.
+
+    Tables that ``stage`` did not return, such as a selection of one, are left alone.
+    """
+    for t in tables:
+        if t is not None and getattr(t, "staged_at", None):
+            _delete(t.sparkSession, t.staged_at)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -53,6 +70,4 @@ def spread(df: DataFrame) -> DataFrame:
 
 def clear_staging(spark: SparkSession) -> None:
     """Delete the tables this application has staged. Call when a job ends."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(staging_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, staging_root(spark))
