@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import stage
+from sieveline.llm.common import stage, unstage
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -17,19 +17,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     large keys adaptive execution splits. The rounds grow with the logarithm of
     the longest chain. Null ends are ignored; loops are nodes of their own.
     """
-    plain = edges.where("a is not null and b is not null").select("a", "b")
+    plain = stage(edges.where("a is not null and b is not null").select("a", "b"), "links")
     nodes = plain.select(F.col("a").alias("node")).union(plain.select("b")).distinct()
     current = stage(
         plain.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "edges",
     )
-    seen = None
+    # Stars around their smallest node stay as they are, so often one round will do.
+    seen = _state(current)
     for _ in range(max_rounds):
-        current = stage(_small_star(_large_star(current)), "edges")
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
+        before, current = current, stage(_small_star(_large_star(current)), "edges")
+        unstage(before)
+        if (state := _state(current)) == seen:
             break
-        seen = tuple(state)
+        seen = state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(current.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select(
@@ -37,6 +38,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest of its neighbourhood."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))

@@ -9,7 +9,7 @@ counts of larger, equal and smaller registers judge them by likelihood, and the
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import stage
+from sieveline.llm.common import stage, unstage
 from sieveline.llm.components import components
 from sieveline.llm.similar import shingles
 
@@ -34,7 +34,7 @@ BASE, RATE, STEPS = 1.001, 20.0, 2**16 - 2
 #: logarithm; a pair that has it is lost so with a probability of about 5e-7.
 DOUBT = 12.0
 #: Buckets of up to so many sets are compared in pairs, fuller ones with one of their sets at a time.
-SMALL, STAR_ROUNDS = 8, 4
+SMALL, STAR_ROUNDS = 8, 2
 #: What is apart in a full bucket then is dealt by further registers, so many that sets of this similarity
 #: rarely meet, and so often that sets of similarity 0.8 miss each other in a bucket with probability e ** -4.
 CROWD, TRIES = 0.7, 4.0
@@ -103,23 +103,23 @@ def plausible(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, pe
 
 
 @lru_cache(maxsize=32)
-def _set_of(text: str) -> np.ndarray:
-    return shingles(text, SHINGLE_WORDS)
+def _set_of(text: str, words: int) -> np.ndarray:
+    return shingles(text, words)
 
 
-def linked(a: str, b: str, percent: int = PERCENT) -> bool:
-    x, y = _set_of(a), _set_of(b)
+def linked(a: str, b: str, percent: int = PERCENT, words: int = SHINGLE_WORDS) -> bool:
+    x, y = _set_of(a, words), _set_of(b, words)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return bool(len(x) and len(y)) and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def sketch_column(text: Column) -> Column:
+def sketch_column(text: Column, words: int = SHINGLE_WORDS) -> Column:
     """(n, node, made) of each text: the size of its shingle set, a number of 128 bits that stands for it, its registers."""
 
     @F.pandas_udf("n long, node binary, made binary")
     def sketched(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            sets = [shingles(t, SHINGLE_WORDS) for t in texts]
+            sets = [shingles(t, words) for t in texts]
             yield pd.DataFrame(
                 {
                     "n": pd.Series([len(s) for s in sets], dtype="int64"),
@@ -143,11 +143,11 @@ def _plausible_column(percent: int) -> Column:
     return judged("n_a", "n_b", "made_a", "made_b")
 
 
-def _linked_column(percent: int) -> Column:
+def _linked_column(percent: int, words: int) -> Column:
     @F.pandas_udf("boolean")
     def judged(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in parts:
-            yield pd.Series([linked(a, b, percent) for a, b in zip(left, right)], dtype="bool")
+            yield pd.Series([linked(a, b, percent, words) for a, b in zip(left, right)], dtype="bool")
 
     return judged("text_a", "text_b")
 
@@ -156,19 +156,12 @@ def _band(made: Column, at: int, rows: int = ROWS) -> Column:
     return F.xxhash64(F.lit(at), F.substring(made, 2 * rows * at + 1, 2 * rows))
 
 
-def _shared(rows: DataFrame, label: str) -> DataFrame:
-    """The rows (bucket, num, n) of buckets with more than one of them."""
-    rows = rows.distinct()
-    sizes = stage(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket"), label)
-    return stage(rows.join(sizes, "bucket"), label)
-
-
 def _couples(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b, n_a, n_b) within the buckets of ``rows`` that aren't tied yet and whose sizes allow a link."""
+    """All pairs (a, b) within the buckets of ``rows`` that aren't tied yet and whose sizes allow a link."""
     one = rows.select("bucket", F.col("num").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
     two = rows.select("bucket", F.col("num").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
     both = one.join(two, "bucket").where("a < b and root_a <> root_b")
-    return both.where(_near_sizes(percent)).select("a", "b", "n_a", "n_b")
+    return both.where(_near_sizes(percent)).select("a", "b")
 
 
 def _near_sizes(percent: int) -> Column:
@@ -178,7 +171,6 @@ def _near_sizes(percent: int) -> Column:
 def _crowds(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Full buckets dealt out by further registers, drawn by a hash; more of them the fuller the bucket is."""
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"))
-    # One row per full bucket; the table is staged before this, so sizes join like any other.
     words = F.greatest(F.lit(1), F.ceil(F.log(F.col("size") / SMALL) / F.lit(-math.log(CROWD)))).cast("int")
     sizes = stage(sizes.withColumn("words", words), "crowds")
     tries = F.ceil(F.lit(TRIES) / F.pow(F.lit(PERCENT / 100), F.col("words"))).cast("int")
@@ -189,61 +181,67 @@ def _crowds(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return dealt.select(F.xxhash64("bucket", "try", key).alias("bucket"), "num", "n")
 
 
-def links(nodes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
     """(num, root) of the sets that are tied by links; root is the smallest number reachable.
 
-    ``nodes`` (num, n, made) are different sets; ``texts(wanted)`` gives (num,
-    text) for the numbers in ``wanted``. A bucket of more than ``SMALL`` sets
-    isn't paired with itself: in a round all its sets not tied to it yet are
-    compared with one of them, which then leaves the bucket, and classes are
-    joined. Buckets that stay full are dealt by further registers and what
-    meets there again is compared in pairs, so nothing that shares a band is
-    dropped unseen.
+    ``nodes`` (num, n, made) are different sets, staged; ``texts(wanted)`` gives
+    (num, text) for the numbers in ``wanted``. A bucket of more than ``SMALL``
+    sets isn't paired with itself. First every set is compared with the smallest
+    and the largest number it shares a bucket with, which ties most of a large
+    class. Then, in a round, the sets of a full bucket that aren't tied to one
+    of them are compared with that one, which leaves the bucket. Buckets that
+    stay full are dealt by further registers, and what meets there again is
+    compared in pairs, so nothing that shares a band is dropped unseen.
     """
     bands = [_band(F.col("made"), i) for i in range(BANDS)]
-    open_ = _shared(nodes.select(F.explode(F.array(*bands)).alias("bucket"), "num", "n"), "bands")
+    rows = nodes.select(F.explode(F.array(*bands)).alias("bucket"), "num", "n")
+    ends = rows.groupBy("bucket").agg(F.min("num").alias("low"), F.max("num").alias("high")).where("low < high")
+    ends = stage(ends, "bands")
+    open_ = stage(rows.join(ends, "bucket"), "bands")
+    unstage(ends)
     held = stage(texts(open_.select("num").distinct()), "band-texts")
-    registers_of = lambda side: nodes.select(F.col("num").alias(side), F.col("made").alias(f"made_{side}"))
-    text_of = lambda side: held.select(F.col("num").alias(side), F.col("text").alias(f"text_{side}"))
-    roots = None
-    dealt = False
-    turn = 0
-    while True:
-        named = open_ if roots is None else open_.join(roots, "num", "left")
-        named = named.withColumn("root", F.coalesce("root", "num") if roots is not None else F.col("num"))
-        apart = named.groupBy("bucket").agg(
-            F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"),
-            F.min(F.struct(F.xxhash64("num", F.lit(turn)).alias("order"), "num", "n", "root")).alias("star"),
-        ).where("low <> high")
-        apart = stage(apart.select("bucket", "size", "star"), "apart")
+    facts = lambda s: nodes.select(F.col("num").alias(s), F.col("n").alias(f"n_{s}"), F.col("made").alias(f"made_{s}"))
+    text_of = lambda s: held.select(F.col("num").alias(s), F.col("text").alias(f"text_{s}"))
+
+    def tied(pairs: DataFrame, roots: DataFrame | None) -> DataFrame | None:
+        """The roots after the links among ``pairs`` are added."""
+        judged = pairs.distinct().join(facts("a"), "a").join(facts("b"), "b").where(_near_sizes(percent))
+        likely = stage(judged.where(_plausible_column(percent)).select("a", "b"), "likely")
+        if likely.isEmpty():
+            return roots
+        both = likely.join(text_of("a"), "a").join(text_of("b"), "b")
+        found = both.where(_linked_column(percent, words)).select("a", "b")
+        found = found if roots is None else found.union(roots.select(F.col("num").alias("a"), F.col("root").alias("b")))
+        made = stage(components(found).withColumnRenamed("node", "num"), "roots")
+        unstage(likely, roots)
+        return made
+
+    met = open_.groupBy("num").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    met = met.select("num", F.explode(F.array("low", "high")).alias("other")).where("num <> other")
+    roots = tied(met.select(F.least("num", "other").alias("a"), F.greatest("num", "other").alias("b")), None)
+    for turn in range(STAR_ROUNDS + 2):
+        named = open_.select("bucket", "num", "n")
+        named = named.withColumn("root", F.col("num")) if roots is None else named.join(roots, "num", "left").withColumn("root", F.coalesce("root", "num"))
+        apart = named.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+        apart = stage(apart.where("low <> high").select("bucket", "size"), "apart")
         named = stage(named.join(apart, "bucket"), "open")
-        small = named.where((F.col("size") <= SMALL) | F.lit(dealt and turn >= STAR_ROUNDS))
-        full = named.where((F.col("size") > SMALL) & ~F.lit(dealt and turn >= STAR_ROUNDS))
-        if turn >= STAR_ROUNDS and not dealt:
-            open_ = _shared(_crowds(full, nodes), "crowds")
-            dealt, turn = True, 0
-            if open_.isEmpty() and small.isEmpty():
-                break
-            pairs = _couples(small, percent)
-        else:
-            star = full.where("num <> star.num and root <> star.root").select(
-                F.col("num").alias("a"), F.col("star.num").alias("b"), F.col("n").alias("n_a"), F.col("star.n").alias("n_b")
-            )
-            star = star.where(_near_sizes(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
-                F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
-            pairs = _couples(small, percent).union(star)
-            open_ = stage(full.where("num <> star.num").select("bucket", "num", "n"), "open")
-            turn += 1
-        judged = pairs.distinct().join(registers_of("a"), "a").join(registers_of("b"), "b").where(_plausible_column(percent))
-        likely = stage(judged.select("a", "b"), "likely")
-        if not likely.isEmpty():
-            both = likely.join(text_of("a"), "a").join(text_of("b"), "b")
-            found = both.where(_linked_column(percent)).select("a", "b")
-            found = found if roots is None else found.union(roots.select(F.col("num").alias("a"), F.col("root").alias("b")))
-            roots = stage(components(stage(found, "links")).withColumnRenamed("node", "num"), "roots")
-        if open_.isEmpty():
+        unstage(open_, apart)
+        if named.isEmpty():
             break
+        dealt = turn > STAR_ROUNDS
+        small, full = named.where((F.col("size") <= SMALL) | F.lit(dealt)), named.where((F.col("size") > SMALL) & ~F.lit(dealt))
+        pairs = _couples(small, percent)
+        if turn < STAR_ROUNDS:
+            star = F.min(F.struct(F.xxhash64("num", F.lit(turn)).alias("order"), "num", "root")).alias("star")
+            stars = stage(full.groupBy("bucket").agg(star), "stars")
+            rest = full.join(stars, "bucket").where("num <> star.num")
+            pair = rest.where("root <> star.root").select(F.least("num", "star.num").alias("a"), F.greatest("num", "star.num").alias("b"))
+            pairs, open_ = pairs.union(pair), stage(rest.select("bucket", "num", "n"), "open")
+        elif turn == STAR_ROUNDS:
+            open_ = stage(_crowds(full, nodes), "crowds")
+        roots = tied(pairs, roots)
+        unstage(named)
+    unstage(held)
     return nodes.select("num", F.col("num").alias("root")).limit(0) if roots is None else roots
 
 
