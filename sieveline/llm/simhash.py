@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import fresh, stage
+from sieveline.llm.common import keep_first, stage
 from sieveline.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -116,8 +116,7 @@ def near_duplicates(
     """
     rows = stage(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col)).alias("fp")), "prints")
     firsts = stage(rows.groupBy("fp").agg(F.min("id").alias("first")), "prints")
-    roots = components(links(firsts.select("fp"), max_distance))
-    tied = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    tied = firsts.join(classes(firsts, max_distance), "fp")
     least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     named = tied.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
@@ -125,21 +124,20 @@ def near_duplicates(
     )
 
 
+def classes(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(fp, root) for every different fingerprint of ``fps``; root is the smallest fingerprint reachable."""
+    roots = components(links(fps.select("fp"), max_distance)).withColumnRenamed("node", "fp")
+    return fps.select("fp").distinct().join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id.
 
-    Columns are kept as they are. Rows that repeat the kept id within the
-    component are one; a component without ids keeps any one of its rows.
+    Columns are kept as they are, whatever their names. Rows that repeat the
+    kept id within the component are one; a component without ids keeps any one
+    of its rows. An empty table stays empty.
     """
-    groups = near_duplicates(docs, id_col, text_col, max_distance)
-    mark, group = fresh(docs, "fingerprint"), fresh(docs, "component")
-    chosen = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
-        F.col(id_col).alias("_id"), F.col("fingerprint").alias("_fp"), F.col("component_id").alias("_group")
-    ).distinct()
-    made = F.lpad(F.lower(F.hex(fingerprint_column(docs[text_col]))), 16, "0")
-    kept = docs.withColumn(mark, made).join(
-        chosen, F.col(mark).eqNullSafe(F.col("_fp")) & F.col(id_col).eqNullSafe(F.col("_id"))
-    )
-    # Rows with the same id in one component: one of them. A null id shares its fingerprint's group.
-    once = kept.withColumn(group, F.coalesce(F.col("_group").cast("string"), F.col(mark))).dropDuplicates([group])
-    return once.select(*docs.columns)
+    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("words"), fingerprint_column(F.col(text_col)).alias("fp"))
+    rows = stage(read, "prints")
+    members = rows.join(classes(rows, max_distance), "fp").select("id", "words", "root")
+    return keep_first(docs, stage(members, "members"), id_col, text_col)

@@ -1,28 +1,12 @@
-"""Near copies by the similarity of their shingles: MinHash bands find pairs, the shingles themselves decide."""
+"""Word shingles of texts as sets of numbers, and their similarity."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from sieveline.llm.common import fresh, stage
-from sieveline.llm.components import components
 
 SHINGLE_WORDS = 5
-MIN_SIMILARITY = 0.8
-#: Texts of similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99993 at 0.8.
-BANDS, ROWS = 24, 5
-#: Rounds in which each bucket is compared with one of its texts, before what is still apart is compared in pairs.
-STAR_ROUNDS = 4
 
-_random = np.random.default_rng(11)
-_FACTORS = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MASKS = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -50,101 +34,3 @@ def similarity(a: str | None, b: str | None, words: int = SHINGLE_WORDS) -> floa
     x, y = shingles(a, words), shingles(b, words)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(len(x) + len(y) - both, 1)
-
-
-def bands(text: str | None) -> list[int]:
-    """The MinHash band values of a text, one signed number for each band."""
-    x = shingles(text)
-    if not len(x):
-        return []
-    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
-    for at in range(0, len(x), 8192):
-        part = (x[at : at + 8192, None] ^ _MASKS) * _FACTORS
-        np.minimum(least, part.min(axis=0), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(r.tobytes(), i) - 2**63 for i, r in enumerate(rows)]
-
-
-def text_number(text: Column) -> Column:
-    """A number of a text's words, the same for texts that differ in blanks and case of A-Z only."""
-
-    @F.pandas_udf("long")
-    def made(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series([xxhash.xxh64_intdigest(b" ".join(words_of(t)), 7) - 2**63 for t in texts], dtype="int64")
-
-    return made(text)
-
-
-def _band_column(text: Column) -> Column:
-    @F.pandas_udf("array<long>")
-    def made(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series([bands(t) for t in texts], dtype="object")
-
-    return made(text)
-
-
-def _similar(a: Column, b: Column, least: float) -> Column:
-    @F.pandas_udf("boolean")
-    def made(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in parts:
-            yield pd.Series([similarity(x, y) >= least for x, y in zip(left, right)], dtype="bool")
-
-    return made(a, b)
-
-
-def links(texts: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
-    """(node, root) of the texts (node, text) that are tied by pairs of similarity ``least`` or more.
-
-    Texts that share a band stand in one bucket. A bucket of many copies isn't
-    paired with itself: in each round its texts that aren't tied yet are
-    compared with one of them, chosen anew, and classes are joined. What stands
-    apart in a bucket after the rounds is compared pair by pair, so none that
-    shares a band is left out.
-    """
-    rows = texts.select("node", F.explode(_band_column(F.col("text"))).alias("bucket"))
-    rows = stage(rows.distinct(), "bands")
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    rows = stage(rows.join(shared.select("bucket"), "bucket", "left_semi"), "bands")
-    held = stage(texts.join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "band-texts")
-
-    edges = roots = None
-    current = rows.withColumn("root", F.col("node"))
-    for n in range(STAR_ROUNDS + 1):
-        apart = current.groupBy("bucket").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(n))).alias("star")
-        ).where("low <> high")
-        open_rows = current.join(apart.select("bucket", "star"), "bucket")
-        if n < STAR_ROUNDS:
-            pairs = open_rows.where("root <> star.root").select("node", F.col("star.node").alias("other"))
-        else:
-            others = open_rows.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            pairs = open_rows.join(others, "bucket").where("root < other_root").select("node", "other")
-        pairs = stage(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        joined = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-        joined = joined.join(held.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-        found = stage(joined.where(_similar(F.col("left"), F.col("right"), least)).select("a", "b"), "similar")
-        edges = found if edges is None else edges.union(found)
-        roots = stage(components(edges), "similar-roots")
-        current = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return rows.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = MIN_SIMILARITY) -> DataFrame:
-    """``docs`` with one text of each class tied by shingle similarity: the one with the smallest id.
-
-    Columns are kept as they are. Rows of equal words count as one text and
-    stay or go together, so copies are to be dropped before. A class without
-    ids keeps any one of its texts; texts without words are left alone.
-    """
-    mark = fresh(docs, "number")
-    marked = docs.withColumn(mark, text_number(F.col(text_col)))
-    nodes = stage(marked.select(F.col(mark).alias("node"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "similar-texts")
-    tied = nodes.select("node", "id").join(links(nodes.select("node", "text"), least), "node")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))["node"].alias("kept")
-    kept = tied.groupBy("root").agg(first)
-    dropped = tied.join(kept, "root").where("node <> kept").select(F.col("node").alias(mark)).distinct()
-    return marked.join(dropped, mark, "left_anti").select(*docs.columns)

@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexical transducer turns words into symbols (insult with a weight, threat,
-target, negation, report, quote), a clause transducer reads the symbols and
-emits weighted matches of a kind, and a logistic model learned from labels
-turns the sums of a text into a score.
+A lexical transducer turns words into weighted symbols (insult, threat, target,
+negation, report, quotation mark). Five clause transducers read the symbols and
+say for each what acts on it; their composition tells the kind of a match, which
+weighs the word. A logistic model learned from labels turns the matches of a
+text into a score.
 """
 
 from __future__ import annotations
@@ -54,40 +55,73 @@ THREATS = frozenset(
 )
 QUOTES = frozenset("\"«»“”„")
 
-KINDS = ("plain", "targeted", "negated", "reported", "threat")
-FEATURES = ("strongest", *KINDS, "density")
-#: A sum of log odds beyond this adds nothing.
+#: Words with a part of their own in a clause; they are no insults.
+CLOSED = TARGETS | NEGATIONS | REPORTS | THREATS
+
+#: What a match of each kind weighs against a bare insult: aimed ones more, denied and reported ones less.
+KIND_WEIGHTS = {"plain": 1.0, "targeted": 1.25, "negated": 0.25, "reported": 0.4, "threat": 1.25}
+KINDS = tuple(KIND_WEIGHTS)
+#: The weight of a threat word, which needs a target near it; about that of a well attested insult.
+THREAT_WEIGHT = 4.0
+FEATURES = ("strongest", "sum", "density")
+#: A sum of weights beyond this adds nothing.
 ENOUGH = 30.0
+#: Other, insult, threat, target, negation, report, quotation mark.
+SYMBOLS = "OITPNRQ"
+
+#: A transducer: start state and (state, symbol) to (state, output).
+Machine = tuple[object, dict[tuple[object, str], tuple[object, object]]]
+
+
+def near(symbol: str) -> Machine:
+    """Outputs whether ``symbol`` was read among the last ``REACH`` symbols."""
+    arcs = {}
+    for left in range(REACH + 1):
+        for s in SYMBOLS:
+            arcs[left, s] = (REACH if s == symbol else max(0, left - 1), left > 0)
+    return 0, arcs
+
+
+def since(symbol: str) -> Machine:
+    """Outputs whether ``symbol`` was read before."""
+    return False, {(seen, s): (seen or s == symbol, seen) for seen in (False, True) for s in SYMBOLS}
+
+
+def inside(symbol: str) -> Machine:
+    """Outputs whether an odd number of ``symbol`` was read: whether a quotation is open."""
+    return False, {(odd, s): (odd != (s == symbol), odd) for odd in (False, True) for s in SYMBOLS}
 
 
-def _transitions() -> dict[tuple[tuple[int, int, int, int], str], tuple[tuple[int, int, int, int], str | None]]:
-    """The clause transducer: (state, symbol) to (state, kind of match or None).
+def compose(*machines: Machine) -> Machine:
+    """The transducer that reads a symbol with all machines at once and outputs what each of them does.
 
-    A state counts the words for which a negation, a target and a threat still
-    act, and whether speech is reported. Symbols: O other, I insult, T threat,
-    P target, N negation, R report, Q quotation mark.
+    Only pairs of states that can be reached are made.
     """
-    table = {}
-    steps = range(REACH + 1)
-    for neg in steps:
-        for tgt in steps:
-            for thr in steps:
-                for rep in (0, 1):
-                    less = (max(0, neg - 1), max(0, tgt - 1), max(0, thr - 1), rep)
-                    kind = "reported" if rep else "negated" if neg else "targeted" if tgt else "plain"
-                    state = (neg, tgt, thr, rep)
-                    table[state, "O"] = (less, None)
-                    table[state, "I"] = (less, kind)
-                    table[state, "N"] = ((REACH, *less[1:]), None)
-                    table[state, "P"] = ((less[0], REACH, *less[2:]), "threat" if thr and not neg and not rep else None)
-                    table[state, "T"] = ((*less[:2], REACH, rep), "threat" if tgt and not neg and not rep else None)
-                    table[state, "R"] = ((*less[:3], 1), None)
-                    table[state, "Q"] = ((*less[:3], 1 - rep), None)
-    return table
-
-
-TRANSITIONS = _transitions()
-START = (0, 0, 0, 0)
+    start = tuple(m[0] for m in machines)
+    arcs, pending = {}, [start]
+    while pending:
+        state = pending.pop()
+        if (state, SYMBOLS[0]) in arcs:
+            continue
+        for s in SYMBOLS:
+            steps = [arcs_of[q, s] for q, (_, arcs_of) in zip(state, machines)]
+            arcs[state, s] = (tuple(q for q, _ in steps), tuple(o for _, o in steps))
+            pending.append(arcs[state, s][0])
+    return start, arcs
+
+
+def kind_of(symbol: str, negated: bool, targeted: bool, threatened: bool, reported: bool, quoted: bool) -> str | None:
+    """The kind of match that a symbol completes, if any."""
+    if symbol == "I":
+        return "reported" if reported or quoted else "negated" if negated else "targeted" if targeted else "plain"
+    # A denied or reported threat is none.
+    aimed = (symbol == "P" and threatened) or (symbol == "T" and targeted)
+    return "threat" if aimed and not (negated or reported or quoted) else None
+
+
+START, _ARCS = compose(near("N"), near("P"), near("T"), since("R"), inside("Q"))
+#: The clause transducer: (state, symbol) to (state, kind of match or None).
+TRANSITIONS = {(q, s): (after, kind_of(s, *out)) for (q, s), (after, out) in _ARCS.items()}
 
 
 def stems(word: str) -> Iterator[str]:
@@ -123,16 +157,18 @@ class Grammar:
         return found
 
     def symbol(self, word: str) -> tuple[str, float]:
-        w = self.weight(word)
-        if w:
-            return "I", w
         for name, words in (("P", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("T", THREATS), ("Q", QUOTES)):
             if word in words:
-                return name, 1.0
-        return "O", 0.0
+                return name, THREAT_WEIGHT if name == "T" else 1.0
+        w = self.weight(word)
+        return ("I", w) if w else ("O", 0.0)
 
     def matches(self, text: str | None) -> list[tuple[int, str, str, float]]:
-        """(clause number, kind, word, weight) of every match, reading each clause through both transducers."""
+        """(clause number, kind, word, weight) of every match, reading each clause through all transducers.
+
+        A threat is complete at its target or at its word, whichever comes
+        last, and has the threat's weight.
+        """
         out = []
         for n, clause in enumerate(CLAUSE.split((text or "").lower())):
             state = START
@@ -140,7 +176,7 @@ class Grammar:
                 name, w = self.symbol(word)
                 state, kind = TRANSITIONS[state, name]
                 if kind:
-                    out.append((n, kind, word, w))
+                    out.append((n, kind, word, (w if name == "I" else THREAT_WEIGHT) * KIND_WEIGHTS[kind]))
         return out
 
     def features(self, text: str | None) -> list[float]:
@@ -151,14 +187,10 @@ class Grammar:
         # Clauses are only read where a match can be: an insult or a threat.
         if not any(map(self.weight, distinct)) and THREATS.isdisjoint(distinct):
             return [0.0] * len(FEATURES)
-        found = self.matches(text)
-        sums = Counter()
-        for _, kind, _, w in found:
-            sums[kind] += w
-        strongest = max((w for _, kind, _, w in found if kind != "threat"), default=0.0)
+        weights = [w for _, _, _, w in self.matches(text)]
         # Per 100 words: chance matches grow with a text, insults stand out in it.
-        density = 100.0 * sum(sums.values()) / (len(words) + 50.0)
-        return [strongest, *(min(sums[k], ENOUGH) for k in KINDS), min(density, ENOUGH)]
+        density = 100.0 * sum(weights) / (len(words) + 50.0)
+        return [max(weights, default=0.0), min(sum(weights), ENOUGH), min(density, ENOUGH)]
 
     def score(self, text: str | None) -> float:
         z = self.coefficients[0] + sum(c * x for c, x in zip(self.coefficients[1:], self.features(text)))
@@ -170,7 +202,7 @@ def _pattern_counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         seen = (Counter(), Counter())
         for text, label in zip(part["text"], part["label"]):
-            words = set(WORD.findall((text or "").lower()))
+            words = set(WORD.findall((text or "").lower())) - CLOSED
             seen[int(label)].update({p for w in words for p in stems(w)})
         keys = list(seen[0].keys() | seen[1].keys())
         yield pd.DataFrame({"pattern": keys, "toxic": [seen[1][k] for k in keys], "clean": [seen[0][k] for k in keys]})
