@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontaminate, mixing, secrets, simhash, similar, toxicity
+from sieveline.llm import copies, decontaminate, mixing, secrets, toxicity
 from sieveline.llm.common import fresh, stage, table
 from sieveline.llm.queries import MIX_POWERS, MIX_SEED, MIX_SHARE
 
@@ -19,13 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies by fingerprint, the one with the smallest id."""
-    return simhash.keep_one(docs)
-
-
-def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of what stays by fingerprint, one document of each class whose five-word shingles agree to 0.8 or more."""
-    return similar.keep_one(stage(drop_near_copies(spark, docs, sf_dir), "by-fingerprint"))
+    """One document of each class of near copies, by SimHash fingerprints and by five-word shingles at 0.8 or more."""
+    return copies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +42,7 @@ def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near duplicates", drop_similar),
+    ("near duplicates", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("secret scan", mask_secrets),
     ("mixing", sample_mix),
