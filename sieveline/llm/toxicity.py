@@ -23,8 +23,8 @@ from sieveline.llm.common import stage
 
 #: Labelled rows a model is fitted on at most; the lowest hashes of their ids are taken.
 FIT_ROWS = 20_000
-#: Insult patterns a grammar keeps at most, by strength of evidence.
-LEXICON = 1_500
+#: Insult patterns a grammar keeps at most, by strength of evidence: a bound on the model, far above what rows in the thousands attest.
+LEXICON = 20_000
 #: Least likelihood-ratio statistic of a pattern, about one false pattern in 30,000 tried.
 LEAST_EVIDENCE = 17.0
 #: Log odds below this are chance; weights count from here.
@@ -124,6 +124,10 @@ START, _ARCS = compose(near("N"), near("P"), near("T"), since("R"), inside("Q"))
 TRANSITIONS = {(q, s): (after, kind_of(s, *out)) for (q, s), (after, out) in _ARCS.items()}
 
 
+#: A pattern also has a form for its second and its third word in a text: some stems are insults only where they pile up.
+TIMES = 3
+
+
 def stems(word: str) -> Iterator[str]:
     """The patterns a word fits: itself, and ``stem*`` for each stem length."""
     yield word
@@ -132,35 +136,51 @@ def stems(word: str) -> Iterator[str]:
             yield word[:n] + "*"
 
 
+def nth(pattern: str, n: int) -> str:
+    """The form of a pattern for the n-th word of a text that fits it."""
+    return pattern if n < 2 else f"{pattern}{min(n, TIMES)}"
+
+
 @dataclass
 class Grammar:
     """Insult patterns with weights, the best attested first, and the logistic model on the features."""
 
     insults: dict[str, float] = field(default_factory=dict)
     coefficients: tuple[float, ...] = (0.0,) * (len(FEATURES) + 1)
-    cache: dict[str, float] = field(default_factory=dict, repr=False)
+    cache: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
         return {**self.__dict__, "cache": {}}
 
     def __post_init__(self):
         self.rank = {p: i for i, p in enumerate(self.insults)}
+        self.bases = {p.rstrip("23") for p in self.insults}
 
-    def weight(self, word: str) -> float:
-        """The weight of the best attested pattern a word fits, 0 if none."""
+    def fits(self, word: str) -> tuple[str, ...]:
+        """The patterns of the grammar, in any form, that a word fits."""
         found = self.cache.get(word)
         if found is None:
             if len(self.cache) > 300_000:
                 self.cache.clear()
-            fits = [p for p in stems(word) if p in self.rank]
-            found = self.cache[word] = self.insults[min(fits, key=self.rank.__getitem__)] if fits else 0.0
+            found = self.cache[word] = () if word in CLOSED else tuple(p for p in stems(word) if p in self.bases)
         return found
 
-    def symbol(self, word: str) -> tuple[str, float]:
+    def weight(self, word: str, seen: Counter) -> float:
+        """The weight of the best attested form a word fits, 0 if none; ``seen`` counts the patterns of the text so far."""
+        best = None
+        for p in self.fits(word):
+            seen[p] += 1
+            for n in range(min(seen[p], TIMES), 0, -1):
+                at = self.rank.get(nth(p, n))
+                if at is not None and (best is None or at < best[0]):
+                    best = (at, self.insults[nth(p, n)])
+        return best[1] if best else 0.0
+
+    def symbol(self, word: str, seen: Counter) -> tuple[str, float]:
         for name, words in (("P", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("T", THREATS), ("Q", QUOTES)):
             if word in words:
                 return name, THREAT_WEIGHT if name == "T" else 1.0
-        w = self.weight(word)
+        w = self.weight(word, seen)
         return ("I", w) if w else ("O", 0.0)
 
     def matches(self, text: str | None) -> list[tuple[int, str, str, float]]:
@@ -169,11 +189,11 @@ class Grammar:
         A threat is complete at its target or at its word, whichever comes
         last, and has the threat's weight.
         """
-        out = []
+        out, seen = [], Counter()
         for n, clause in enumerate(CLAUSE.split((text or "").lower())):
             state = START
             for word in SYMBOL.findall(clause):
-                name, w = self.symbol(word)
+                name, w = self.symbol(word, seen)
                 state, kind = TRANSITIONS[state, name]
                 if kind:
                     out.append((n, kind, word, (w if name == "I" else THREAT_WEIGHT) * KIND_WEIGHTS[kind]))
@@ -185,7 +205,7 @@ class Grammar:
         words = WORD.findall(low)
         distinct = set(words)
         # Clauses are only read where a match can be: an insult or a threat.
-        if not any(map(self.weight, distinct)) and THREATS.isdisjoint(distinct):
+        if not any(map(self.fits, distinct)) and THREATS.isdisjoint(distinct):
             return [0.0] * len(FEATURES)
         weights = [w for _, _, _, w in self.matches(text)]
         # Per 100 words: chance matches grow with a text, insults stand out in it.
@@ -202,8 +222,12 @@ def _pattern_counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         seen = (Counter(), Counter())
         for text, label in zip(part["text"], part["label"]):
-            words = set(WORD.findall((text or "").lower())) - CLOSED
-            seen[int(label)].update({p for w in words for p in stems(w)})
+            words = Counter(WORD.findall((text or "").lower()))
+            fits = Counter()
+            for w, n in words.items():
+                if w not in CLOSED:
+                    fits.update(dict.fromkeys(stems(w), n))
+            seen[int(label)].update([nth(p, k) for p, n in fits.items() for k in range(1, min(n, TIMES) + 1)])
         keys = list(seen[0].keys() | seen[1].keys())
         yield pd.DataFrame({"pattern": keys, "toxic": [seen[1][k] for k in keys], "clean": [seen[0][k] for k in keys]})
 
@@ -260,7 +284,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 0
 def fit_grammar(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS
 ) -> Grammar:
-    """A grammar learned from labelled rows, ``fit_rows`` at most.
+    """A grammar learned from labelled rows, ``fit_rows`` at most, with the best ``LEXICON`` patterns at most.
 
     Ids that repeat in ``labels`` count once, as toxic if any row says so;
     null ids and labels are left out. With no toxic or no clean row the grammar
