@@ -433,3 +433,18 @@ def standardised_features(spark, sf_dir):
     names = ["debt_to_assets", "f_nonhalal", "riba_intensity", "total_assets"]
     scaled = standardise(features(spark, sf_dir), names)
     return scaled.select("symbol", *[F.round(c, 8).alias(c) for c in names])
+
+
+SEGMENT_CODES = {"AUTOMOBILE": 1, "BUILDING": 2, "HOUSEHOLD": 7, "MACHINERY": 8, "Other": 13}
+
+
+@query(
+    "sector_codes",
+    """SELECT c_custkey AS company_id, CASE WHEN c_custkey % 50 = 0 THEN 13 WHEN c_mktsegment = 'AUTOMOBILE' THEN 1
+  WHEN c_mktsegment = 'BUILDING' THEN 2 WHEN c_mktsegment = 'HOUSEHOLD' THEN 7 WHEN c_mktsegment = 'MACHINERY' THEN 8 ELSE 13 END
+  AS sector_encoded FROM customer""",
+)
+def sector_codes(spark, sf_dir):
+    """Codes of a given table; segments it doesn't name and companies without one have the default."""
+    made = companies(spark, sf_dir)
+    return made.select("company_id", P.sector_code(F.col("sector"), SEGMENT_CODES).alias("sector_encoded"))

@@ -343,3 +343,36 @@ def amount_parsing(spark, sf_dir):
         F.count_if(F.col("amount").isNull()).alias("n_bad"),
         significant(F.sum("amount")).alias("total"),
     )
+
+
+@query(
+    "sector_dictionary",
+    """SELECT CAST(c_custkey AS VARCHAR) AS symbol, CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment || ', "' || c_custkey || '" {x}' ELSE c_mktsegment END
+  AS sector FROM customer WHERE c_custkey % 50 <> 0""",
+)
+def sector_dictionary(spark, sf_dir):
+    """One JSON object in one file, read back in parts; some sectors hold commas, quotation marks and braces."""
+    pairs = sector_map(spark, sf_dir)
+    odd = F.concat("sector", F.lit(', "'), "symbol", F.lit('" {x}'))
+    named = pairs.select("symbol", F.when(F.col("symbol").cast("long") % 7 == 0, odd).otherwise(F.col("sector")).alias("sector"))
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    lines = named.select(F.lit(1).alias("at"), F.concat(quoted("symbol"), F.lit(": "), quoted("sector"), F.lit(",")).alias("value"))
+    ends = spark.createDataFrame([(0, "{"), (2, '"last": "Other"}')], "at int, value string")
+    path = staged_path(spark, "sector-dictionary")
+    lines.union(ends).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return readers.read_sector_dictionary(spark, path).where("symbol <> 'last'")
+
+
+@query(
+    "report_round_trip",
+    """SELECT c_mktsegment AS segment, count(*) AS n, round(avg(c_acctbal), 6) AS mean_balance, CAST(NULL AS VARCHAR) AS note
+  FROM customer GROUP BY 1""",
+)
+def report_round_trip(spark, sf_dir):
+    """Report rows written as JSON lines, nulls kept, and read back."""
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(
+        F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 6).alias("mean_balance"), F.lit(None).cast("string").alias("note")
+    )
+    path = staged_path(spark, "report")
+    writers.write_report(rows, path)
+    return spark.read.schema(rows.schema).json(path)

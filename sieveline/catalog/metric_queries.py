@@ -351,14 +351,14 @@ def evaluation_bundle(spark, sf_dir):
 
 # --- splits and folds --------------------------------------------------------------
 
-_UNIT = "CAST(('0x' || substr(md5(CAST(company_id AS VARCHAR) || '|42'), 1, 8))::BIGINT AS DOUBLE) / 4294967296"
+UNIT = "CAST(('0x' || substr(md5(CAST(company_id AS VARCHAR) || '|42'), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496"
 
 
 @query(
     "stratified_split",
     with_sql(
         SQL_LABELS,
-        f"SELECT company_id, shariah_compliant, CAST({_UNIT} < 0.2 AS INTEGER) AS is_test FROM labels",
+        f"SELECT company_id, shariah_compliant, CAST({UNIT} < 0.2 AS INTEGER) AS is_test FROM labels",
     ),
 )
 def stratified_split(spark, sf_dir):
@@ -371,9 +371,9 @@ def stratified_split(spark, sf_dir):
     "stratified_split_exact",
     with_sql(
         SQL_LABELS,
-        f"""SELECT company_id, shariah_compliant, CAST(row_number() OVER (PARTITION BY shariah_compliant ORDER BY u)
+        f"""SELECT company_id, shariah_compliant, CAST(row_number() OVER (PARTITION BY shariah_compliant ORDER BY u, company_id)
   <= round(0.2::DOUBLE * count(*) OVER (PARTITION BY shariah_compliant)) AS INTEGER) AS is_test
-FROM (SELECT *, {_UNIT} AS u FROM labels)""",
+FROM (SELECT *, {UNIT} AS u FROM labels)""",
     ),
 )
 def stratified_split_exact(spark, sf_dir):
@@ -388,7 +388,7 @@ def stratified_split_exact(spark, sf_dir):
     "fold_assignment",
     with_sql(
         SQL_LABELS,
-        f"SELECT CAST(floor({_UNIT} * 5) AS INTEGER) AS fold, shariah_compliant, count(*) AS n FROM labels GROUP BY ALL",
+        f"SELECT CAST(floor({UNIT} * 5) AS INTEGER) AS fold, shariah_compliant, count(*) AS n FROM labels GROUP BY ALL",
     ),
 )
 def fold_assignment(spark, sf_dir):
@@ -396,6 +396,22 @@ def fold_assignment(spark, sf_dir):
     return P.with_folds(keyed, "company_id").groupBy("fold", "shariah_compliant").agg(F.count("*").alias("n"))
 
 
+@query(
+    "stratified_folds",
+    with_sql(
+        SQL_LABELS,
+        f"""SELECT company_id, shariah_compliant, CAST((row_number() OVER (PARTITION BY shariah_compliant ORDER BY u, company_id) - 1) % 5
+  AS INTEGER) AS fold FROM (SELECT *, {UNIT} AS u FROM labels)""",
+    ),
+)
+def stratified_folds(spark, sf_dir):
+    """Every class is dealt round robin in the order of its hashes."""
+    keyed = stage(
+        labels(spark, sf_dir).select(F.col("symbol").cast("long").alias("company_id"), "shariah_compliant"), "keyed"
+    )
+    return P.with_stratified_folds(keyed, "company_id", "shariah_compliant")
+
+
 _FOLD_METRICS = ("accuracy", "precision", "recall", "f1")
 
 
@@ -404,7 +420,7 @@ _FOLD_METRICS = ("accuracy", "precision", "recall", "f1")
     with_sql(
         SQL_SCORED,
         f""", per_fold AS (
-  SELECT CAST(floor({_UNIT} * 5) AS INTEGER) AS fold, avg(CAST(label = prediction AS INTEGER)) AS accuracy,
+  SELECT CAST(floor({UNIT} * 5) AS INTEGER) AS fold, avg(CAST(label = prediction AS INTEGER)) AS accuracy,
     count(*) FILTER (label = 1 AND prediction = 1) / count(*) FILTER (prediction = 1) AS precision,
     count(*) FILTER (label = 1 AND prediction = 1) / count(*) FILTER (label = 1) AS recall,
     2 * count(*) FILTER (label = 1 AND prediction = 1)
@@ -430,7 +446,7 @@ def fold_summary(spark, sf_dir):
         SQL_LABELS,
         "\nUNION ALL\n".join(
             f"SELECT {s}::DOUBLE AS share, count(*) AS n, CAST(sum(shariah_compliant) AS BIGINT) AS n_compliant "
-            f"FROM labels WHERE {_UNIT} < {s}"
+            f"FROM labels WHERE {UNIT} < {s}"
             for s in (0.1, 0.5, 1.0)
         ),
     ),

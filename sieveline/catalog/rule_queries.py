@@ -476,21 +476,31 @@ def confidence_status(spark, sf_dir):
 def _headline(spark, sf_dir):
     """(metric, value) rows of the fixed score."""
     data = scored(spark, sf_dir)
-    table_ = M.hard_metrics(M.confusion(data), ("f1", "precision", "recall", "accuracy"))
+    table_ = M.hard_metrics(M.confusion(data), ("f1", "precision", "recall", "accuracy")).withColumns(
+        {
+            "auc": M.auc(data).scalar(),
+            "guardrail_pass_rate": G.guardrail_pass_rate(_guarded(spark, sf_dir)).scalar(),
+        }
+    )
     return table_.unpivot([], table_.columns, "metric", "value")
 
 
 @query(
     "metric_targets",
     with_sql(
-        SQL_COUNTS,
-        """, values_ AS (
+        SQL_COUNTS + SQL_GUARDED.removeprefix(SQL_LABELS),
+        """, ranks AS (SELECT label, rank() OVER (ORDER BY probability) + (count(*) OVER (PARTITION BY probability) - 1) / 2.0 AS r FROM scored),
+values_ AS (
+  SELECT 'auc' AS metric, (sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label)) AS value,
+    0.92::DOUBLE AS target FROM ranks
+  UNION ALL SELECT 'guardrail_pass_rate', avg(guardrails_passed), 0.80 FROM guarded
+  UNION ALL
   SELECT 'f1' AS metric, 2 * tp / (2 * tp + fp + fn) AS value, 0.85::DOUBLE AS target FROM counts
   UNION ALL SELECT 'precision', tp / (tp + fp), 0.90 FROM counts
   UNION ALL SELECT 'recall', tp / (tp + fn), 0.85 FROM counts
   UNION ALL SELECT 'accuracy', (tp + tn) / (tp + tn + fp + fn), 0.85 FROM counts)
 SELECT metric, round(value, 9) AS value, target, CAST(value >= target AS INTEGER) AS met FROM values_""",
-    ).replace("\n, values_", ",\nvalues_"),
+    ).replace("\n, ranks", ",\nranks"),
 )
 def metric_targets(spark, sf_dir):
     checked = G.check_targets(_headline(spark, sf_dir))

@@ -62,8 +62,8 @@ def unit_hash(key: str | Column, seed: int = 42) -> Column:
     retried and in any other engine with md5.
     """
     digest = F.md5(F.concat_ws("|", col(key).cast("string"), F.lit(str(seed))))
-    head = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
-    return head / F.lit(4294967296.0)
+    head = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
+    return head / F.lit(float(2**52))
 
 
 def percent_text(c: str | Column, digits: int = 1) -> Column:

@@ -1,155 +1,134 @@
 """Per-row feature contributions of a boosted-tree model.
 
-Contributions are the Shapley values of the path-dependent expectation: a
-feature that is not known sends a row down both branches in proportion to the
-training rows that went there. They add up to margin minus base.
+Contributions are the Shapley values of the path-dependent expectation: a feature that is not known sends a
+row down both branches in proportion to the curvature of the training rows that went there. They add up to
+margin minus base.
 
-One leaf is a box: it bounds each feature on its path. For a row, a feature is
-inside its bound or not, so a leaf with m features knows only 2^m kinds of
-rows, and all rows of one kind share the same values.
+A leaf is a box: it bounds each of the m features on its path, and a row is inside a bound (1) or not (0);
+s is the share of training rows inside. The Shapley value of feature i at a leaf of value v is
+
+    v (inside_i - s_i) times the integral over t from 0 to 1 of the product over j <> i of t inside_j + (1 - t) s_j
+
+a polynomial of degree m - 1 in t, so Gauss-Legendre sums of (m + 1) / 2 points are exact. All leaves of a
+tree and a block of rows are one array operation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from math import factorial
 
 import numpy as np
-import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.operators.models import KEY, save_model, trees_of
-from sieveline.sources.staging import spread, staged_path
+from sieveline.operators.boosting import BoostedTrees, Tree
+from sieveline.operators.models import KEY
+from sieveline.sources.staging import spread
+
+#: Numbers of a block of rows times a tree's leaves and path features.
+BLOCK_CELLS = 1_000_000
 
 
 @dataclass(frozen=True)
-class Leaf:
-    """Weighted output, and per feature its bounds and the share of rows inside."""
+class Boxes:
+    """The leaves of a tree: values, and per leaf and path feature its bounds and share, padded with feature -1."""
 
-    value: float
-    features: np.ndarray
+    value: np.ndarray
+    feature: np.ndarray
     low: np.ndarray
     high: np.ndarray
     share: np.ndarray
 
 
-def _node_table(model: PipelineModel, df: DataFrame) -> tuple[pd.DataFrame, dict[int, float]]:
-    """The trees as MLlib stores them. Bounded by the size of the model."""
-    path = staged_path(df.sparkSession, "tree-model")
-    save_model(PipelineModel(stages=[trees_of(model)]), path)
-    folder = f"{path}/stages/*"
-    nodes = df.sparkSession.read.parquet(f"{folder}/data").select("treeID", "nodeData.*").toPandas()
-    return nodes, dict(enumerate(float(w) for w in trees_of(model).treeWeights))
-
-
-def tree_leaves(model: PipelineModel, df: DataFrame) -> list[Leaf]:
-    """All leaves of all trees with their boxes."""
-    nodes, weights = _node_table(model, df)
-    leaves: list[Leaf] = []
-    for tree, rows in nodes.groupby("treeID"):
-        by_id = {int(r.id): r for r in rows.itertuples()}
-        pending = [(0, {})]
-        while pending:
-            at, box = pending.pop()
-            node = by_id[at]
-            if node.leftChild < 0:
-                names = sorted(box)
-                bounds = [box[n] for n in names]
-                leaves.append(
-                    Leaf(
-                        weights[int(tree)] * float(node.prediction),
-                        np.array(names, dtype=np.int64),
-                        np.array([b[0] for b in bounds]),
-                        np.array([b[1] for b in bounds]),
-                        np.array([b[2] for b in bounds]),
-                    )
-                )
-                continue
-            if node.split["numCategories"] != -1:
-                raise ValueError("categorical splits are not supported")
-            feature = int(node.split["featureIndex"])
-            cut = float(node.split["leftCategoriesOrThreshold"][0])
-            low, high, share = box.get(feature, (-np.inf, np.inf, 1.0))
-            for child, bound in (
-                (int(node.leftChild), (low, min(high, cut))),
-                (int(node.rightChild), (max(low, cut), high)),
-            ):
-                part = by_id[child].rawCount / node.rawCount
-                pending.append((child, {**box, feature: (*bound, share * part)}))
-    return leaves
-
-
-def base_value(leaves: Sequence[Leaf]) -> float:
-    """The expected margin when nothing is known about a row."""
-    return float(sum(leaf.value * leaf.share.prod() for leaf in leaves))
-
-
-def _leaf_values(inside: np.ndarray, leaf: Leaf) -> np.ndarray:
-    """Contribution of every path feature, for each row kind of ``inside``."""
-    m = len(leaf.features)
-    size_weight = [factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)]
-    out = np.empty(inside.shape)
-    for i in range(m):
-        # sums[:, s]: over the known sets of s other features, the product of
-        # inside flags for known and shares for unknown features.
-        sums = np.zeros((len(inside), m))
-        sums[:, 0] = 1.0
-        for j in range(m):
-            if j != i:
-                known = np.zeros_like(sums)
-                known[:, 1:] = sums[:, :-1] * inside[:, j : j + 1]
-                sums = sums * leaf.share[j] + known
-        out[:, i] = leaf.value * (inside[:, i] - leaf.share[i]) * (sums @ np.array(size_weight))
-    return out
+def boxes(tree: Tree) -> Boxes:
+    leaves: list[tuple[float, dict]] = []
+    pending: list[tuple[int, dict]] = [(0, {})]
+    while pending:
+        at, box = pending.pop()
+        f = int(tree.feature[at])
+        if f < 0:
+            leaves.append((float(tree.value[at]), box))
+            continue
+        low, high, share = box.get(f, (-np.inf, np.inf, 1.0))
+        cut = float(tree.threshold[at])
+        for child, bound in ((tree.left[at], (low, min(high, cut))), (tree.right[at], (max(low, cut), high))):
+            part = tree.hessian[child] / tree.hessian[at]
+            pending.append((int(child), {**box, f: (*bound, share * part)}))
+    depth = max(len(b) for _, b in leaves)
+    feature = np.full((len(leaves), depth), -1)
+    low, high, share = np.full(feature.shape, -np.inf), np.full(feature.shape, np.inf), np.ones(feature.shape)
+    for i, (_, box) in enumerate(leaves):
+        for j, f in enumerate(sorted(box)):
+            feature[i, j], (low[i, j], high[i, j], share[i, j]) = f, box[f]
+    return Boxes(np.array([v for v, _ in leaves]), feature, low, high, share)
 
 
-def contributions_of(x: np.ndarray, leaves: Sequence[Leaf]) -> np.ndarray:
+def tree_boxes(model: BoostedTrees) -> list[Boxes]:
+    return [boxes(t) for t in model.trees]
+
+
+def base_value(made: Sequence[Boxes]) -> float:
+    """The expected margin when nothing is known about a row."""
+    return float(sum((b.value * b.share.prod(axis=1)).sum() for b in made))
+
+
+def _tree_contributions(x: np.ndarray, b: Boxes) -> np.ndarray:
+    depth = b.feature.shape[1]
+    if depth == 0:
+        return np.zeros(x.shape)
+    real = b.feature >= 0
+    cells = x[:, np.maximum(b.feature, 0)]
+    # Padding is inside a bound of share 1 and so has no effect.
+    inside = np.where(real, (cells > b.low) & (cells <= b.high), True).astype(float)
+    points, weights = np.polynomial.legendre.leggauss((depth + 1) // 2)
+    others = np.zeros(inside.shape)
+    for t, w in zip((points + 1) / 2, weights / 2):
+        # Above 0 everywhere: t is inside (0, 1) and shares are above 0.
+        factor = t * inside + (1 - t) * b.share
+        others += w * factor.prod(axis=2, keepdims=True) / factor
+    value = b.value[:, None] * (inside - b.share) * others
+    place = np.zeros((b.feature.size, x.shape[1]))
+    at = np.flatnonzero(real)
+    place[at, b.feature.ravel()[at]] = 1.0
+    return value.reshape(len(x), -1) @ place
+
+
+def contributions_of(x: np.ndarray, made: Sequence[Boxes]) -> np.ndarray:
     """Contributions of every feature for a block of rows."""
     out = np.zeros(x.shape)
-    for leaf in leaves:
-        m = len(leaf.features)
-        if m == 0:
-            continue
-        cells = x[:, leaf.features]
-        inside = (cells > leaf.low) & (cells <= leaf.high)
-        kind = inside @ (1 << np.arange(m))
-        seen = np.flatnonzero(np.bincount(kind, minlength=1 << m))
-        flags = ((seen[:, None] >> np.arange(m)) & 1).astype(float)
-        place = np.zeros(1 << m, dtype=np.int64)
-        place[seen] = np.arange(len(seen))
-        out[:, leaf.features] += _leaf_values(flags, leaf)[place[kind]]
+    for b in made:
+        step = max(1, BLOCK_CELLS // max(b.feature.size, 1))
+        for at in range(0, len(x), step):
+            out[at : at + step] += _tree_contributions(x[at : at + step], b)
     return out
 
 
 def row_contributions(
-    model: PipelineModel, df: DataFrame, features: Sequence[str], key: str = KEY
+    model: BoostedTrees, df: DataFrame, features: Sequence[str], key: str = KEY
 ) -> DataFrame:
     """(key, reasons) with one struct of feature, value, contribution per feature.
 
     Rows stream through tasks in Arrow batches; what is broadcast grows with
-    the model, not with the data. ``value`` is the unscaled feature.
+    the model, not with the data.
     """
     names = list(features)
-    leaves = df.sparkSession.sparkContext.broadcast(tree_leaves(model, df))
-    prepared = spread(df)
-    for step in model.stages[:-1]:
-        prepared = step.transform(prepared)
-    vectors = prepared.select(
-        F.col(key), F.array(*names).alias("value"), vector_to_array("features").alias("x")
-    )
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                made = contributions_of(np.stack(batch["x"].to_numpy()), leaves.value)
-                yield batch[[key, "value"]].assign(contribution=list(made))
+    if tuple(names) != model.features:
+        raise ValueError("features must be the model's, in its order")
+    leaves = df.sparkSession.sparkContext.broadcast(tree_boxes(model))
+    vectors = spread(df).select(F.col(key), F.array(*[F.col(n).cast("double") for n in names]).alias("value"))
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column("value").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                made = pa.array(contributions_of(x, leaves.value).ravel())
+                made = pa.FixedSizeListArray.from_arrays(made, x.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.record_batch([b.column(key), b.column("value"), made], [key, "value", "contribution"])
 
     kind = dict(vectors.dtypes)[key]
-    wide = vectors.mapInPandas(explain, f"{key} {kind}, value array<double>, contribution array<double>")
+    wide = vectors.mapInArrow(explain, f"{key} {kind}, value array<double>, contribution array<double>")
     reasons = [
         F.struct(
             F.lit(n).alias("feature"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,10 +58,10 @@ def with_ratios(amounts: DataFrame) -> DataFrame:
     )
 
 
-def sector_code(sector: Column) -> Column:
+def sector_code(sector: Column, codes: Mapping[str, int] = S.SECTOR_CODES, default: str = S.DEFAULT_SECTOR) -> Column:
     """Fixed code of a sector, unknown or null as the code of the default."""
-    pairs = [F.lit(x) for item in S.SECTOR_CODES.items() for x in item]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), sector), F.lit(S.SECTOR_CODES[S.DEFAULT_SECTOR]))
+    pairs = [F.lit(x) for item in codes.items() for x in item]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), sector), F.lit(codes[default]))
 
 
 def feature_table(companies: DataFrame, legacy_sector: bool = False) -> DataFrame:

@@ -1,55 +1,25 @@
-"""Boosted-tree training, scoring and evaluation on MLlib."""
+"""Training, scoring and evaluation of boosted-tree models."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline import settings as S
+from sieveline.operators import boosting as B
 from sieveline.operators import metrics as M
-from sieveline.operators.splits import with_folds, with_split
+from sieveline.operators.splits import with_exact_split, with_stratified_folds
 from sieveline.operators.thresholds import SEARCH_GRID, best_threshold, threshold_metrics
 from sieveline.sources.staging import stage
 
-LABEL, WEIGHT, KEY = "label", "row_weight", "company_id"
+LABEL, KEY = "label", "company_id"
 CV_METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
-
-
-def classifier(params: S.BoostParams, rows: int, features_col: str = "features") -> GBTClassifier:
-    """The MLlib estimator for the settings.
-
-    ``loss_reduction`` is a total over the rows of a node and MLlib compares
-    the gain per row, so it is divided by the number of rows. MLlib has no L1
-    or L2 term on leaves and samples features per node, not per tree.
-    """
-    return GBTClassifier(
-        featuresCol=features_col,
-        labelCol=LABEL,
-        weightCol=WEIGHT,
-        maxIter=params.trees,
-        maxDepth=params.depth,
-        stepSize=params.learning_rate,
-        minInstancesPerNode=params.min_child_weight,
-        minInfoGain=params.loss_reduction / max(rows, 1),
-        subsamplingRate=params.row_sample,
-        featureSubsetStrategy="all" if params.column_sample >= 1.0 else str(params.column_sample),
-        seed=params.seed,
-    )
-
-
-def steps(features: Sequence[str], estimator: Estimator, scale: bool = True) -> Pipeline:
-    """Assemble, standardise and fit; the scaler is fitted on the training rows only."""
-    assembled = VectorAssembler(inputCols=list(features), outputCol="raw_features" if scale else "features")
-    scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
-    return Pipeline(stages=[assembled, scaler, estimator] if scale else [assembled, estimator])
+#: Trees without a better validation loss after which boosting ends (fixed value).
+PATIENCE = 20
 
 
 def training_rows(df: DataFrame, features: Sequence[str], label: str, key: str) -> DataFrame:
@@ -61,24 +31,30 @@ def training_rows(df: DataFrame, features: Sequence[str], label: str, key: str)
     return stage(rows, "training-rows")
 
 
-def with_weights(df: DataFrame, positive_weight: float) -> DataFrame:
-    weight = F.when(F.col(LABEL) == 1, F.lit(float(positive_weight))).otherwise(F.lit(1.0))
-    return df.withColumn(WEIGHT, weight)
+def fit_all(df: DataFrame, features: Sequence[str], fits: Sequence[B.Fit]) -> list[B.BoostedTrees]:
+    """The models of several settings and row sets, fitted in the same passes."""
+    return B.fit_many(df, features, fits, KEY, LABEL)
 
 
-def fit(df: DataFrame, features: Sequence[str], params: S.BoostParams, scale: bool = True) -> PipelineModel:
-    weighted = with_weights(df, params.positive_weight)
-    rows = df.count() if params.loss_reduction else 1
-    return steps(features, classifier(params, rows), scale).fit(weighted)
+def fit(df: DataFrame, features: Sequence[str], params: S.BoostParams) -> B.BoostedTrees:
+    return fit_all(df, features, [B.Fit(params)])[0]
 
 
-def score(model: PipelineModel, df: DataFrame, name: str = "probability") -> DataFrame:
-    """Add P(1) as one double column; the model's vector columns are dropped."""
+def score(model, df: DataFrame, name: str = "probability") -> DataFrame:
+    """Add P(1) as one double column. ``model`` is a boosted model or a fitted MLlib pipeline."""
+    if isinstance(model, B.BoostedTrees):
+        return df.withColumn(name, F.get(B.probability_column([model]), F.lit(0)))
     out = model.transform(df).withColumn(name, vector_to_array("probability")[1])
-    extra = [c for c in ("raw_features", "features", "rawPrediction", "prediction") if c not in df.columns]
+    extra = [c for c in ("features", "rawPrediction", "prediction") if c not in df.columns]
     return out.drop(*extra) if name == "probability" else out.drop(*extra, "probability")
 
 
+def with_scores(models: Sequence[B.BoostedTrees], df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Add P(1) of every model in one pass over the features."""
+    made = df.withColumn("_scores", B.probability_column(models))
+    return made.withColumns({n: F.get("_scores", F.lit(i)) for i, n in enumerate(names)}).drop("_scores")
+
+
 def with_prediction(scored: DataFrame, threshold: float = 0.5, probability: str = "probability") -> DataFrame:
     """Add the class, the confidence and whether the class is right."""
     p = F.col(probability)
@@ -108,6 +84,16 @@ def positive_weight(df: DataFrame) -> float:
     return float(M.class_weight(df, LABEL).first()["scale_pos_weight"])
 
 
+def out_of_fold(
+    folded: DataFrame, features: Sequence[str], params: Sequence[S.BoostParams], k: int, names: Sequence[str], fold: str = "fold"
+) -> DataFrame:
+    """P(1) of every setting for every row, by the models that did not see its fold; all are fitted together."""
+    fits = [B.Fit(p, f"{fold} <> {i}") for p in params for i in range(k)]
+    scored = folded.withColumn("_scores", B.probability_column(fit_all(folded, features, fits)))
+    own = {n: F.get("_scores", F.lit(j * k) + F.col(fold)) for j, n in enumerate(names)}
+    return stage(scored.withColumns(own).drop("_scores"), "out-of-fold")
+
+
 def fold_predictions(
     df: DataFrame,
     features: Sequence[str],
@@ -116,13 +102,9 @@ def fold_predictions(
     seed: int = 42,
     name: str = "probability",
 ) -> DataFrame:
-    """Out-of-fold P(1) for every row, staged. One fit per fold."""
-    folded = stage(with_folds(df, KEY, k, seed), "folds")
-    parts = []
-    for i in range(k):
-        model = fit(folded.where(F.col("fold") != i), features, params)
-        parts.append(score(model, folded.where(F.col("fold") == i), name))
-    return stage(reduce(DataFrame.unionByName, parts), "out-of-fold")
+    """Out-of-fold P(1) for every row, staged. Folds are stratified."""
+    folded = stage(with_stratified_folds(df, KEY, LABEL, k, seed), "folds")
+    return out_of_fold(folded, features, [params], k, [name])
 
 
 def fold_metrics(predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -147,7 +129,7 @@ def cross_validate(
 class TrainedScorer:
     """A model with its decision threshold and its test and fold metrics."""
 
-    model: PipelineModel
+    model: B.BoostedTrees
     features: tuple[str, ...]
     threshold: float
     params: S.BoostParams
@@ -172,10 +154,10 @@ def train_scorer(
 
     The driver holds the parameters, the weight and the threshold, never rows.
     """
-    split = stage(with_split(df, KEY, test_size, seed), "split")
+    split = stage(with_exact_split(df, KEY, LABEL, test_size, seed), "split")
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     if weigh_classes:
-        params = S.BoostParams(**{**vars(params), "positive_weight": positive_weight(train)})
+        params = replace(params, positive_weight=positive_weight(train))
     model = fit(train, features, params)
     tested = stage(score(model, test), "tested")
     threshold = 0.5
@@ -194,41 +176,41 @@ def fit_early_stopping(
     features: Sequence[str],
     params: S.BoostParams = S.EARLY_STOP_MODEL,
     validation_share: float = 0.2,
-    tolerance: float = 0.01,
+    patience: int = PATIENCE,
     seed: int = 42,
-) -> PipelineModel:
-    """Fit with a held-out part that ends boosting.
+) -> B.BoostedTrees:
+    """Fit with a stratified held-out part that ends boosting.
 
-    MLlib stops at the first tree that improves the validation loss by less
-    than ``tolerance``.
+    The log loss of the held-out part is measured after every tree. Boosting
+    ends when it has not improved for ``patience`` trees, and the model keeps
+    the trees up to its smallest loss.
     """
-    marked = with_split(with_weights(df, params.positive_weight), KEY, validation_share, seed, "is_validation")
-    boosted = classifier(params, df.count()).setValidationIndicatorCol("is_validation")
-    boosted = boosted.setParams(validationTol=tolerance)
-    return steps(features, boosted).fit(marked)
+    marked = stage(with_exact_split(df, KEY, LABEL, validation_share, seed, "is_validation"), "early-stopping")
+    return fit_all(marked, features, [B.Fit(params, "not is_validation", "is_validation", patience)])[0]
 
 
-def trees_of(model: PipelineModel) -> GBTClassificationModel:
-    return model.stages[-1]
+def loss_table(spark: SparkSession, model: B.BoostedTrees) -> DataFrame:
+    """(n_trees, train_loss, validation_loss, is_best), a row per boosting round."""
+    rows = [(i, *pair, i == model.best_round) for i, pair in enumerate(model.losses)]
+    return spark.createDataFrame(rows, "n_trees int, train_loss double, validation_loss double, is_best boolean")
 
 
 def importance_table(
-    spark: SparkSession, model: PipelineModel, features: Sequence[str], top: int | None = None
+    spark: SparkSession, model: B.BoostedTrees, features: Sequence[str], top: int | None = None
 ) -> DataFrame:
-    """(rank, feature, importance, importance_pct), largest first.
+    """(rank, feature, importance, importance_pct), largest first: the mean gain of a feature's splits as a share.
 
     The table has one row per feature, so it is made on the driver.
     """
-    values = trees_of(model).featureImportances.toArray()
-    total = float(values.sum()) or 1.0
-    order = sorted(range(len(features)), key=lambda i: (-values[i], i))[:top]
-    rows = [(r + 1, features[i], float(values[i]), float(values[i]) / total * 100) for r, i in enumerate(order)]
+    values = dict(zip(model.features, model.importances()))
+    order = sorted(range(len(features)), key=lambda i: (-values[features[i]], i))[:top]
+    rows = [(r + 1, features[i], float(values[features[i]]), float(values[features[i]]) * 100) for r, i in enumerate(order)]
     return spark.createDataFrame(rows, "rank int, feature string, importance double, importance_pct double")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(spark: SparkSession, model: B.BoostedTrees, path: str) -> None:
+    B.save(spark, model, path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str) -> B.BoostedTrees:
+    return B.load(spark, path)

@@ -11,11 +11,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sieveline.operators.boosting import BoostedTrees
 from sieveline.operators.models import KEY, score
 from sieveline.sources.staging import spread
 
@@ -100,7 +100,7 @@ def _block_sums(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def local_surrogate(
-    model: PipelineModel,
+    model: BoostedTrees,
     df: DataFrame,
     features: Sequence[str],
     samples: int = 200,

@@ -1,4 +1,4 @@
-"""Staged search over boosted-tree settings with MLlib's CrossValidator."""
+"""Staged search over boosted-tree settings; all settings and folds of a stage share their passes."""
 
 from __future__ import annotations
 
@@ -8,16 +8,14 @@ import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.pipeline import Pipeline
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sieveline import settings as S
-from sieveline.operators.models import KEY, LABEL, classifier, with_weights
-from sieveline.operators.splits import with_folds
+from sieveline.operators import models as L
+from sieveline.operators.boosting import BoostedTrees, Fit, probability_column
+from sieveline.operators.models import KEY, LABEL
+from sieveline.operators.splits import with_stratified_folds
 from sieveline.sources.staging import stage
 
 
@@ -30,56 +28,52 @@ class Search:
     scores: tuple[float, ...]
     best: S.BoostParams
     best_score: float
-    model: PipelineModel
+    model: BoostedTrees
 
 
 def combinations(grid: Mapping[str, Sequence]) -> list[dict]:
     return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
 
 
+def weighted_f1(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The F1 of both classes weighted by their rows, from counts of (label, prediction)."""
+    def of(label: int, prediction: int):
+        hit = (F.col(LABEL) == label) & (F.col("prediction") == prediction)
+        return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).cast("double")
+
+    cells = counts.groupBy(*by).agg(of(1, 1).alias("tp"), of(0, 0).alias("tn"), of(0, 1).alias("fp"), of(1, 0).alias("fn"))
+    wrong = F.col("fp") + F.col("fn")
+    f1 = lambda hit: F.coalesce(F.try_divide(2 * F.col(hit), 2 * F.col(hit) + wrong), F.lit(0.0))
+    ones, zeros = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
+    return cells.select(*by, ((f1("tp") * ones + f1("tn") * zeros) / (ones + zeros)).alias("weighted_f1"))
+
+
 def search(
     df: DataFrame,
     features: Sequence[str],
     candidates: Sequence[S.BoostParams],
     k: int = 5,
     seed: int = 42,
-    parallelism: int = 4,
     name: str = "search",
 ) -> Search:
-    """Cross-validate the candidates on weighted F1; the first best one wins.
+    """Cross-validate the candidates on weighted F1 over stratified folds; the first best one wins.
 
-    Folds come from the hash of the key. Vectors are assembled once and
-    staged, so the fits of all candidates share them.
+    One binned table serves the fits of all candidates and folds, and one pass
+    scores every row by the models that did not see it. The winner is refit
+    on all rows.
     """
-    weighted = with_folds(with_weights(df, candidates[0].positive_weight), KEY, k, seed)
-    prepared = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(features), outputCol="raw_features"),
-            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-        ]
-    ).fit(weighted)
-    vectors = stage(prepared.transform(weighted).drop("raw_features", *features), "vectors")
-    rows = vectors.count()
-    base = classifier(candidates[0], rows)
-    maps = [
-        {p: v for p, v in classifier(c, rows).extractParamMap().items() if base.hasParam(p.name)}
-        for c in candidates
-    ]
-    maps = [{base.getParam(p.name): v for p, v in m.items()} for m in maps]
-    validator = CrossValidator(
-        estimator=base,
-        estimatorParamMaps=maps,
-        evaluator=MulticlassClassificationEvaluator(labelCol=LABEL, metricName="f1"),
-        numFolds=k,
-        foldCol="fold",
-        parallelism=parallelism,
-        seed=seed,
-    )
-    fitted = validator.fit(vectors)
-    scores = tuple(float(s) for s in fitted.avgMetrics)
-    at = max(range(len(scores)), key=lambda i: (scores[i], -i))
-    model = PipelineModel(stages=[*prepared.stages, fitted.bestModel])
-    return Search(name, tuple(candidates), scores, candidates[at], scores[at], model)
+    folded = stage(with_stratified_folds(df, KEY, LABEL, k, seed), "search-folds")
+    fits = [Fit(c, f"fold <> {i}") for c in candidates for i in range(k)]
+    models = L.fit_all(folded, features, fits)
+    scores = probability_column(models)
+    own = [F.get("s", F.lit(j * k) + F.col("fold")) for j in range(len(candidates))]
+    each = folded.withColumn("s", scores).select(LABEL, "fold", F.posexplode(F.array(*own)).alias("candidate", "p"))
+    counts = each.groupBy("candidate", "fold", LABEL, (F.col("p") >= 0.5).cast("int").alias("prediction")).agg(F.count("*").alias("n"))
+    means = weighted_f1(stage(counts, "search-counts"), ["candidate", "fold"]).groupBy("candidate").agg(F.avg("weighted_f1").alias("m"))
+    got = {r.candidate: r.m for r in means.collect()}
+    ranked = tuple(float(got.get(j, 0.0)) for j in range(len(candidates)))
+    at = max(range(len(ranked)), key=lambda i: (ranked[i], -i))
+    return Search(name, tuple(candidates), ranked, candidates[at], ranked[at], L.fit(df, features, candidates[at]))
 
 
 def grid_search(

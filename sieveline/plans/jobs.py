@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from sieveline.operators.features import (
     sector_code,
     with_ratios,
 )
+from sieveline.operators.boosting import BoostedTrees
 from sieveline.operators.contributions import row_contributions, top_contributions
 from sieveline.operators.guardrails import recommendations
 from sieveline.operators.labeling import label_companies
@@ -102,7 +102,7 @@ def screen_portfolio(
 
 def hybrid_screen(
     portfolio: DataFrame,
-    model: PipelineModel,
+    model: BoostedTrees,
     importance: Sequence[tuple[str, float]] = (),
     rules: S.ScreeningRules = S.ScreeningRules(),
     null_checked: Sequence[str] | None = None,
@@ -134,7 +134,7 @@ def train_and_evaluate(
 
 
 def explain_predictions(
-    model: PipelineModel, rows: DataFrame, features: Sequence[str], key: str, top: int = 10
+    model: BoostedTrees, rows: DataFrame, features: Sequence[str], key: str, top: int = 10
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(predictions, top reasons per row, importance) of one model."""
     predictions = prediction_table(score(model, rows), key)
@@ -143,7 +143,7 @@ def explain_predictions(
 
 
 def technical_report(
-    model: PipelineModel,
+    model: BoostedTrees,
     params: S.BoostParams,
     rows: DataFrame,
     features: Sequence[str],
@@ -196,7 +196,7 @@ def permit_decisions(
 
 def score_portfolio(
     portfolio: DataFrame,
-    model: PipelineModel,
+    model: BoostedTrees,
     features: Sequence[str] = S.MODEL_FEATURES,
     keep: Sequence[str] = ("ticker", "company_name"),
     threshold: float = 0.5,

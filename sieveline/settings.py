@@ -261,8 +261,9 @@ class BoostParams:
     """Boosted-tree settings, named after their effect.
 
     ``loss_reduction`` is the total gain a split must bring,
-    ``min_child_weight`` the smallest child, ``positive_weight`` the weight of
-    label 1 relative to label 0.
+    ``min_child_weight`` the least curvature of a child, ``positive_weight`` the
+    weight of label 1 relative to label 0, ``l1`` and ``l2`` the penalties of
+    leaf values.
     """
 
     trees: int = 100
@@ -274,13 +275,21 @@ class BoostParams:
     column_sample: float = 0.8
     positive_weight: float = 1.0
     seed: int = 42
+    l1: float = 0.0
+    l2: float = 1.0
 
 
 # --- fixed values: model presets -----------------------------------------------
 PRESETS = {
-    "conservative": BoostParams(200, 4, 0.01, 5, 0.5, 0.7, 0.7),
-    "balanced": BoostParams(150, 6, 0.01, 1, 0.3, 0.9, 0.6),
-    "aggressive": BoostParams(300, 8, 0.05, 1, 0.1, 1.0, 1.0),
+    "conservative": BoostParams(
+        trees=200, depth=4, learning_rate=0.01, min_child_weight=5, loss_reduction=0.5, row_sample=0.7, column_sample=0.7
+    ),
+    "balanced": BoostParams(
+        trees=150, depth=6, learning_rate=0.01, min_child_weight=1, loss_reduction=0.3, row_sample=0.9, column_sample=0.6
+    ),
+    "aggressive": BoostParams(
+        trees=300, depth=8, learning_rate=0.05, min_child_weight=1, loss_reduction=0.1, row_sample=1.0, column_sample=1.0
+    ),
 }
 PRODUCTION_MODEL = BoostParams(150, 6, 0.01, 1, 0.3, 0.9, 0.6)
 SCORER_MODEL = BoostParams(150, 6, 0.1, 3, 0.0, 0.8, 0.8)

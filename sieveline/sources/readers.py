@@ -69,17 +69,20 @@ def read_sector_map(spark: SparkSession, path: str, fmt: str = "json") -> DataFr
 
 
 def read_sector_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(symbol, sector) rows from files that each hold one JSON dictionary.
+    """(symbol, sector) rows from files that hold one JSON dictionary each, of any size.
 
-    Every file is one record, so split a very large map over several files or
-    use :func:`read_sector_map`.
+    A file is cut into records where a string value ends and a comma follows,
+    so many tasks read one dictionary. A value that itself ends a part of its
+    text with an escaped quotation mark and a comma is not supported and fails.
     """
-    as_map = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
-    return (
-        spark.read.text(path, wholetext=True)
-        .select(F.explode(as_map).alias("symbol", "sector"))
-        .select("symbol", "sector")
-    )
+    kind = T.MapType(T.StringType(), T.StringType())
+    cut = F.regexp_replace("value", r"^\s*\{", "")
+    # All records but the last have lost the quotation mark that closes their value.
+    inner = F.from_json(F.concat(F.lit("{"), cut, F.lit('"}')), kind)
+    last = F.from_json(F.concat(F.lit("{"), F.regexp_replace(cut, r"\}\s*$", ""), F.lit("}")), kind)
+    failed = F.raise_error(F.concat(F.lit("no part of a dictionary of strings: "), F.left("value", F.lit(80))))
+    pairs = spark.read.option("lineSep", '",').text(path).where(F.trim("value") != "")
+    return pairs.select(F.explode(F.coalesce(inner, last, failed.cast(kind))).alias("symbol", "sector")).select("symbol", "sector")
 
 
 def model_columns(columns: Sequence[str]) -> list[str]:
