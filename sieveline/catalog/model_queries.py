@@ -38,7 +38,7 @@ from sieveline.operators.features import feature_table
 from sieveline.operators.labeling import label_companies
 from sieveline.operators.screening import flat_decisions
 from sieveline.operators.splits import with_exact_split, with_stratified_folds
-from sieveline.operators.surrogate import local_surrogate
+from sieveline.operators.surrogate import bin_statistics, local_surrogate, quartile_cuts
 from sieveline.plans.jobs import hybrid_screen, technical_report
 from sieveline.plans.star_schema import companies
 from sieveline.sources.staging import stage, staged_path
@@ -550,6 +550,26 @@ def surrogate(spark, sf_dir):
     return local_surrogate(base_model(spark, sf_dir), rows(spark, sf_dir), FEATURES)
 
 
+@query(
+    "surrogate_bins",
+    with_sql(
+        SQL_FEATURES,
+        "\nUNION ALL\n".join(
+            f"""SELECT '{f}' AS feature, CAST((x > a)::INTEGER + (b > a AND x > b)::INTEGER + (c > b AND x > c)::INTEGER AS INTEGER) AS bin,
+  count(*) AS n, round(min(x), 6) AS low, round(max(x), 6) AS high FROM (SELECT {f} AS x, quantile_cont({f}, 0.25) OVER () AS a,
+  quantile_cont({f}, 0.5) OVER () AS b, quantile_cont({f}, 0.75) OVER () AS c FROM features) GROUP BY 2"""
+            for f in ("debt_to_assets", "roa", "f_nonhalal", "net_revenue")
+        ),
+    ),
+)
+def surrogate_bins(spark, sf_dir):
+    """The quartile bins of the local surrogate with their rows and ranges."""
+    names = ("debt_to_assets", "roa", "f_nonhalal", "net_revenue")
+    data = rows(spark, sf_dir)
+    made = bin_statistics(data, names, quartile_cuts(data, names))
+    return made.select("feature", "bin", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
 @query("hybrid_model_decisions")
 def hybrid_model_decisions(spark, sf_dir):
     """Rules first; edge cases get the probability of a trained model."""

@@ -1,13 +1,16 @@
 """A local linear model around each row, fitted to the model's own scores.
 
-Every row is perturbed a fixed number of times, all copies are scored by the
-model, and the weighted normal equations are summed and solved per row. The
-copies are made, scored and summed in the same task.
+Features are cut at their quartiles. A copy of a row draws a bin for every feature by the bins' shares in the
+reference rows, and a value from the normal law of the bin, cut at its ends. Copies are described by where
+they share the row's bin; they weigh less the fewer bins they share, and a weighted ridge fit of the scores on
+those flags gives the weights. Copies are made, scored and summed in the task that holds the row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -16,149 +19,162 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline.operators.boosting import BoostedTrees
-from sieveline.operators.models import KEY, score
+from sieveline.operators.models import KEY
+from sieveline.operators.ranking import exact_quantiles
 from sieveline.sources.staging import spread
 
-_TWO_PI = 6.283185307179586
-_WORD = 4294967296.0
-
-
-def _normal_pair(*parts: Column) -> tuple[Column, Column]:
-    """Two standard normal numbers from the halves of one hash (Box-Muller)."""
-    bits = F.xxhash64(*parts)
-    first = (F.shiftrightunsigned(bits, 32).cast("double") + F.lit(0.5)) / F.lit(_WORD)
-    second = bits.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") / F.lit(_WORD)
-    radius, angle = F.sqrt(F.lit(-2.0) * F.ln(first)), F.lit(_TWO_PI) * second
-    return radius * F.cos(angle), radius * F.sin(angle)
-
-
-def perturbations(
-    df: DataFrame, features: Sequence[str], samples: int, key: str = KEY, seed: int = 42
-) -> DataFrame:
-    """``samples`` copies of every row; copy 0 is the row itself.
-
-    Features move by normal noise times their standard deviation over the
-    table. ``z_<i>`` holds the noise, ``weight`` falls with its length. The
-    noise depends on key, copy and seed only, so a retried task repeats it.
-    """
-    spread_of = df.agg(F.struct(*[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)])).scalar()
-    copies = spread(df.select(key, *features)).withColumn("_spread", spread_of)
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    pairs = [
-        _normal_pair(F.col(key), F.col("copy"), F.lit(i), F.lit(seed)) for i in range(0, len(features), 2)
-    ]
-    noise = {
-        f"z_{i}": F.when(F.col("copy") == 0, F.lit(0.0)).otherwise(z)
-        for i, z in enumerate([z for pair in pairs for z in pair][: len(features)])
-    }
-    copies = copies.withColumns(noise)
-    length = sum((F.col(z) * F.col(z) for z in noise), F.lit(0.0))
-    width = 0.75 * 0.75 * len(features)
-    moved = {
-        f: F.col(f) + F.col(f"z_{i}") * F.coalesce(F.col(f"_spread.s{i}"), F.lit(0.0))
-        for i, f in enumerate(features)
-    }
-    return (
-        copies.withColumn("weight", F.sqrt(F.exp(-length / F.lit(width))))
-        .withColumns(moved)
-        .drop("_spread")
-    )
-
-
-def _ridge(matrix: np.ndarray, target: np.ndarray, ridge: float) -> np.ndarray:
-    """Ridge solution of the normal equations; the intercept (last) is not penalised."""
-    penalty = np.full(len(target), ridge)
-    penalty[-1] = 0.0
-    return np.linalg.solve(matrix + np.diag(penalty), target)
-
-
-def _top_weights(matrix: np.ndarray, target: np.ndarray, ridge: float, top: int) -> np.ndarray:
-    """Weights of the ``top`` largest features, refitted; NaN for those left out."""
-    last = len(target) - 1
-    full = _ridge(matrix, target, ridge)
-    kept = np.append(np.sort(np.argsort(-np.abs(full[:last]), kind="stable")[:top]), last)
-    out = np.full(len(target), np.nan)
-    out[kept] = _ridge(matrix[np.ix_(kept, kept)], target[kept], ridge)
+QUARTILES = (0.25, 0.5, 0.75)
+#: Width of the weights over the root of the number of features (fixed value).
+KERNEL = 0.75
+#: Points at which the law of a bin is tabled.
+STEPS = 257
+#: Rows whose copies are scored at once.
+ROWS_AT_ONCE = 64
+
+
+def bin_column(value: Column, cuts: Sequence[float]) -> Column:
+    """The number of cuts below a value."""
+    total = F.lit(0)
+    for c in cuts:
+        total = total + (value > F.lit(float(c))).cast("int")
+    return total
+
+
+@dataclass(frozen=True)
+class Bins:
+    """Per feature the distinct cuts, and per bin its share and a table of values at even steps of its law."""
+
+    features: tuple[str, ...]
+    cuts: tuple[tuple[float, ...], ...]
+    shares: tuple[np.ndarray, ...]
+    values: tuple[np.ndarray, ...]
+
+
+def _law(mean: float, deviation: float, low: float, high: float) -> np.ndarray:
+    """Values of the normal law cut to [low, high] at even steps of its distribution."""
+    if not deviation > 0 or not high > low:
+        return np.full(STEPS, mean)
+    law = NormalDist(mean, deviation)
+    a, b = law.cdf(low), law.cdf(high)
+    inner = [law.inv_cdf(min(max(p, 1e-12), 1 - 1e-12)) for p in np.linspace(a, b, STEPS)[1:-1]]
+    return np.clip(np.array([low, *inner, high]), low, high)
+
+
+def quartile_cuts(reference: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, ...]]:
+    """The different quartiles of each feature, exact; a feature without values has none."""
+    got: dict[str, set[float]] = {f: set() for f in features}
+    for r in exact_quantiles(reference, features, QUARTILES).collect():
+        got[r.feature].add(float(r.quantile))
+    return {f: tuple(sorted(v)) for f, v in got.items()}
+
+
+def bin_statistics(reference: DataFrame, features: Sequence[str], cuts: dict[str, tuple[float, ...]]) -> DataFrame:
+    """(feature, bin, n, mean, deviation, low, high) over the reference rows; at most four bins a feature."""
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), bin_column(F.col(f), cuts[f]).alias("bin"), F.col(f).cast("double").alias("value")) for f in features])
+    v = F.col("value")
+    return reference.select(F.inline(each)).where(v.isNotNull()).groupBy("feature", "bin").agg(
+        F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("deviation"), F.min(v).alias("low"), F.max(v).alias("high")
+    )
+
+
+def fit_bins(reference: DataFrame, features: Sequence[str]) -> Bins:
+    cuts = quartile_cuts(reference, features)
+    got = {(r.feature, r.bin): r for r in bin_statistics(reference, features, cuts).collect()}
+    shares, values = [], []
+    for f in features:
+        rows = [got.get((f, b)) for b in range(len(cuts[f]) + 1)]
+        n = np.array([r.n if r else 0 for r in rows], dtype=float)
+        shares.append(n / max(n.sum(), 1.0))
+        values.append(np.stack([_law(r.mean, r.deviation, r.low, r.high) if r else np.zeros(STEPS) for r in rows]))
+    return Bins(tuple(features), tuple(cuts[f] for f in features), tuple(shares), tuple(values))
+
+
+def copies(x: np.ndarray, salt: int, bins: Bins, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """(flags, values) of the copies of one row; copy 0 is the row itself. The draws depend on ``salt`` alone."""
+    draws = np.random.Generator(np.random.Philox(key=salt % 2**64)).random((2, samples, len(x)))
+    flags, values = np.empty((samples, len(x))), np.empty((samples, len(x)))
+    for j, cuts in enumerate(bins.cuts):
+        own = int(np.searchsorted(cuts, x[j], side="left"))
+        drawn = np.minimum(np.searchsorted(np.cumsum(bins.shares[j]), draws[0, :, j], side="right"), len(cuts))
+        at = draws[1, :, j] * (STEPS - 1)
+        low = at.astype(int)
+        table = bins.values[j]
+        values[:, j] = table[drawn, low] + (table[drawn, np.minimum(low + 1, STEPS - 1)] - table[drawn, low]) * (at - low)
+        flags[:, j] = drawn == own
+    flags[0], values[0] = 1.0, x
+    return flags, values
+
+
+def copy_weights(flags: np.ndarray) -> np.ndarray:
+    """By the distance of a copy's flags from all ones."""
+    d = flags.shape[-1]
+    return np.sqrt(np.exp(-(d - flags.sum(axis=-1)) / (KERNEL * KERNEL * d)))
+
+
+def ridge(flags: np.ndarray, weights: np.ndarray, scores: np.ndarray, penalty: float) -> np.ndarray:
+    """Weights and intercept (last, not penalised) of stacked fits: flags (rows, copies, features)."""
+    a = np.concatenate([flags, np.ones((*flags.shape[:2], 1))], axis=2)
+    wa = a * weights[..., None]
+    matrix = wa.transpose(0, 2, 1) @ a
+    matrix[:, np.arange(a.shape[2] - 1), np.arange(a.shape[2] - 1)] += penalty
+    return np.linalg.solve(matrix, (wa * scores[..., None]).sum(axis=1)[..., None])[..., 0]
+
+
+def _top(flags: np.ndarray, weights: np.ndarray, scores: np.ndarray, penalty: float, top: int) -> np.ndarray:
+    """Stacked fits on each row's ``top`` features of largest weight; NaN for the others."""
+    full = ridge(flags, weights, scores, penalty)
+    d = flags.shape[2]
+    chosen = np.sort(np.argsort(-np.abs(full[:, :d]), axis=1, kind="stable")[:, :top], axis=1)
+    again = ridge(np.take_along_axis(flags, chosen[:, None, :], axis=2), weights, scores, penalty)
+    out = np.full(full.shape, np.nan)
+    np.put_along_axis(out, chosen, again[:, :-1], axis=1)
+    out[:, d] = again[:, -1]
     return out
 
 
-def _block_sums(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start of every row's run of copies, and the weighted sums of each run.
-
-    The first run may continue the last one of the batch before.
-    """
-    n = batch.num_rows
-    noise = batch.column("noise").flatten().to_numpy().reshape(n, -1)
-    x = np.hstack([noise, np.ones((n, 1))])
-    wx = x * batch.column("weight").to_numpy()[:, None]
-    starts = np.flatnonzero(batch.column("copy").to_numpy() == 0)
-    if len(starts) == 0 or starts[0] != 0:
-        starts = np.insert(starts, 0, 0)
-    matrix = np.stack([np.add.reduceat(wx * x[:, [j]], starts) for j in range(x.shape[1])], axis=2)
-    target = np.add.reduceat(wx * batch.column("probability").to_numpy()[:, None], starts)
-    return starts, matrix, target
-
-
 def local_surrogate(
     model: BoostedTrees,
     df: DataFrame,
     features: Sequence[str],
     samples: int = 200,
     top: int = 3,
-    ridge: float = 1.0,
+    penalty: float = 1.0,
     key: str = KEY,
     seed: int = 42,
+    reference: DataFrame | None = None,
 ) -> DataFrame:
-    """(key, feature, weight, intercept): the ``top`` local weights of every row.
+    """(key, feature, weight, intercept): the ``top`` local weights of every row of ``df``.
 
-    All copies of a row follow each other in one partition, so their sums are
-    closed as the scored copies stream by: nothing is shuffled and a task
-    holds one Arrow batch.
+    Bins come from ``reference``, by default ``df`` itself, which is then read
+    several times and should be stored or staged. Draws depend on key and seed
+    only, so a retried task repeats them. Nothing is shuffled; what is broadcast
+    is the model and four bins a feature.
     """
     names = list(features)
-    scored = score(model, perturbations(df, names, samples, key, seed)).select(
-        key, "copy", "weight", "probability", F.array(*[f"z_{i}" for i in range(len(names))]).alias("noise")
-    )
-    kind = scored.schema[key].dataType
+    shared = df.sparkSession.sparkContext.broadcast((fit_bins(reference if reference is not None else df, names), model))
+    salt = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
+    rows = spread(df).select(key, salt.alias("salt"), F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names]).alias("x"))
+    kind = rows.schema[key].dataType
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = held_type = None
-
-        def closed(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k for k, _, _ in rows], held_type),
-                    pa.array([_top_weights(m, t, ridge, top).tolist() for _, m, t in rows], pa.list_(pa.float64())),
-                ],
-                [key, "weights"],
-            )
-
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            held_type = batch.schema.field(key).type
-            starts, matrix, target = _block_sums(batch)
-            keys = batch.column(key).take(pa.array(starts)).to_pylist()
-            runs = [list(run) for run in zip(keys, matrix, target)]
-            if held is not None:
-                if batch.column("copy")[0].as_py() != 0:
-                    runs[0][1] = runs[0][1] + held[1]
-                    runs[0][2] = runs[0][2] + held[2]
-                else:
-                    runs.insert(0, held)
-            held = runs.pop()
-            if runs:
-                yield closed(runs)
-        if held is not None:
-            yield closed([held])
+        bins, scorer = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(at, ROWS_AT_ONCE)
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                made = [copies(r, int(s), bins, samples) for r, s in zip(x, part.column("salt").to_numpy())]
+                flags, values = (np.stack(m) for m in zip(*made))
+                scores = (1 / (1 + np.exp(-scorer.margins(values.reshape(-1, x.shape[1]))))).reshape(flags.shape[:2])
+                out = _top(flags, copy_weights(flags), scores, penalty, min(top, x.shape[1]))
+                yield pa.record_batch([part.column(key), pa.array(out.tolist(), pa.list_(pa.float64()))], [key, "weights"])
 
     out = T.StructType([T.StructField(key, kind), T.StructField("weights", T.ArrayType(T.DoubleType()))])
-    solved = scored.mapInArrow(solve, out)
-    rows = F.array(
+    solved = rows.mapInArrow(solve, out)
+    each = F.array(
         *[
             F.struct(F.lit(n).alias("feature"), F.get("weights", F.lit(i)).alias("weight"))
             for i, n in enumerate(names)
         ]
     )
     intercept = F.get("weights", F.lit(len(names))).alias("intercept")
-    return solved.select(key, intercept, F.inline(F.filter(rows, lambda r: ~F.isnan(r["weight"]))))
+    return solved.select(key, intercept, F.inline(F.filter(each, lambda r: ~F.isnan(r["weight"]))))

@@ -228,19 +228,36 @@ def test_contributions_add_up_to_the_margin(data, model):
 
 def test_surrogate_is_the_weighted_ridge_fit(data, model):
     small = data.where("company_id < 4")
-    got = U.local_surrogate(model, small, FEATURES, samples=50, top=3).toPandas()
-    copies = L.score(model, U.perturbations(small, FEATURES, 50)).toPandas()
-    assert copies[copies["copy"] == 0].weight.eq(1.0).all()
-    for key, group in copies.groupby("company_id"):
-        z = np.c_[group[["z_0", "z_1", "z_2"]].to_numpy(), np.ones(len(group))]
-        w = group.weight.to_numpy()[:, None]
-        want = np.linalg.solve(z.T @ (w * z) + np.diag([1, 1, 1, 0]), (z * w).T @ group.probability.to_numpy())
-        mine = got[got.company_id == key].set_index("feature").weight
+    got = U.local_surrogate(model, small, FEATURES, samples=50, top=3, reference=data).toPandas()
+    bins = U.fit_bins(data, FEATURES)
+    salts = small.select("company_id", F.xxhash64(F.col("company_id").cast("string"), F.lit(42)).alias("s"), *FEATURES).collect()
+    for r in salts:
+        x = np.array([r[f] for f in FEATURES])
+        flags, values = U.copies(x, r.s, bins, 50)
+        assert (values[0] == x).all() and (flags[0] == 1).all()
+        own = [np.searchsorted(c, v) for c, v in zip(bins.cuts, x)]
+        assert (flags == np.stack([[np.searchsorted(c, v) == o for c, v, o in zip(bins.cuts, row, own)] for row in values])).all()
+        w = np.sqrt(np.exp(-((1 - flags) ** 2).sum(axis=1) / (0.75 * np.sqrt(3)) ** 2))[:, None]
+        p = 1 / (1 + np.exp(-model.margins(values)))
+        z = np.c_[flags, np.ones(50)]
+        want = np.linalg.solve(z.T @ (w * z) + np.diag([1, 1, 1, 0]), (z * w).T @ p)
+        mine = got[got.company_id == r.company_id].set_index("feature").weight
         assert np.allclose([mine[f] for f in FEATURES], want[:3])
-        assert np.allclose(got[got.company_id == key].intercept, want[3])
+        assert np.allclose(got[got.company_id == r.company_id].intercept, want[3])
     assert U.local_surrogate(model, small, FEATURES, samples=20, top=1).count() == 4
 
 
+def test_surrogate_draws_follow_the_bins(data):
+    bins = U.fit_bins(data, FEATURES)
+    x = np.array([0.5, 0.5, 0.5])
+    _, values = U.copies(x, 11, bins, 20_000)
+    for j, f in enumerate(FEATURES):
+        column = np.array([r[0] for r in data.select(f).collect()])
+        counts = np.bincount(np.searchsorted(bins.cuts[j], values[:, j]), minlength=4) / 20_000
+        assert np.allclose(counts, np.bincount(np.searchsorted(bins.cuts[j], column)) / len(column), atol=0.02)
+        assert values[:, j].min() >= column.min() and values[:, j].max() <= column.max()
+
+
 def test_report_document(spark):
     small = spark.createDataFrame([(1, None)], "x int, y double")
     text = report_json(spark, {"one": small}).first().document
