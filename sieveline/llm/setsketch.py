@@ -158,16 +158,41 @@ def _band(made: Column, at: int, rows: int = ROWS) -> Column:
 
 def _couples(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) within the buckets of ``rows`` that aren't tied yet and whose sizes allow a link."""
-    one = rows.select("bucket", F.col("num").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    two = rows.select("bucket", F.col("num").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    one = rows.select("bucket", F.col("num").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "alone", "root")])
+    two = rows.select("bucket", F.col("num").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "alone", "root")])
     both = one.join(two, "bucket").where("a < b and root_a <> root_b")
-    return both.where(_near_sizes(percent)).select("a", "b")
+    # What a set holds alone among all candidates is in no intersection.
+    most = F.least(F.col("n_a") - F.col("alone_a"), F.col("n_b") - F.col("alone_b"))
+    return both.where(most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent).select("a", "b")
 
 
 def _near_sizes(percent: int) -> Column:
     return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
 
+def _shingle_column(text: Column, words: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def made(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([shingles(t, words).view(np.int64) for t in texts], dtype="object")
+
+    return made(text)
+
+
+def _with_alone(rows: DataFrame, held: DataFrame, percent: int, words: int) -> DataFrame:
+    """``rows`` with the number of shingles that only their set holds, without sets that so can't have a link.
+
+    In a crowd of edited copies the edits are what a set holds alone, and they
+    decide most pairs without comparing them.
+    """
+    texts = held.join(rows.select("num").distinct(), "num")
+    each = texts.select("num", F.explode(_shingle_column(F.col("text"), words)).alias("shingle"))
+    once = each.groupBy("shingle").agg(F.count("*").alias("sets"), F.min("num").alias("num")).where("sets = 1")
+    alone = stage(once.groupBy("num").agg(F.count("*").alias("alone")), "alone")
+    found = rows.drop("alone").join(alone, "num", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    return found.where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent)
+
+
 def _crowds(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Full buckets dealt out by further registers, drawn by a hash; more of them the fuller the bucket is."""
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"))
@@ -175,10 +200,10 @@ def _crowds(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     sizes = stage(sizes.withColumn("words", words), "crowds")
     tries = F.ceil(F.lit(TRIES) / F.pow(F.lit(PERCENT / 100), F.col("words"))).cast("int")
     dealt = rows.join(sizes, "bucket").join(nodes.select("num", "made"), "num")
-    dealt = dealt.select("bucket", "num", "n", "words", "made", F.explode(F.sequence(F.lit(1), tries)).alias("try"))
+    dealt = dealt.select("bucket", "num", "n", "alone", "words", "made", F.explode(F.sequence(F.lit(1), tries)).alias("try"))
     word = lambda i: F.substring(F.col("made"), (2 * F.pmod(F.xxhash64("bucket", "try", i), F.lit(REGISTERS)) + 1).cast("int"), F.lit(2))
     key = F.transform(F.sequence(F.lit(1), F.col("words")), word)
-    return dealt.select(F.xxhash64("bucket", "try", key).alias("bucket"), "num", "n")
+    return dealt.select(F.xxhash64("bucket", "try", key).alias("bucket"), "num", "n", "alone")
 
 
 def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -194,7 +219,7 @@ def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: in
     compared in pairs, so nothing that shares a band is dropped unseen.
     """
     bands = [_band(F.col("made"), i) for i in range(BANDS)]
-    rows = nodes.select(F.explode(F.array(*bands)).alias("bucket"), "num", "n")
+    rows = nodes.select(F.explode(F.array(*bands)).alias("bucket"), "num", "n", F.lit(0).cast("long").alias("alone"))
     ends = rows.groupBy("bucket").agg(F.min("num").alias("low"), F.max("num").alias("high")).where("low < high")
     ends = stage(ends, "bands")
     open_ = stage(rows.join(ends, "bucket"), "bands")
@@ -220,7 +245,7 @@ def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: in
     met = met.select("num", F.explode(F.array("low", "high")).alias("other")).where("num <> other")
     roots = tied(met.select(F.least("num", "other").alias("a"), F.greatest("num", "other").alias("b")), None)
     for turn in range(STAR_ROUNDS + 2):
-        named = open_.select("bucket", "num", "n")
+        named = open_.select("bucket", "num", "n", "alone")
         named = named.withColumn("root", F.col("num")) if roots is None else named.join(roots, "num", "left").withColumn("root", F.coalesce("root", "num"))
         apart = named.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
         apart = stage(apart.where("low <> high").select("bucket", "size"), "apart")
@@ -236,8 +261,9 @@ def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: in
             stars = stage(full.groupBy("bucket").agg(star), "stars")
             rest = full.join(stars, "bucket").where("num <> star.num")
             pair = rest.where("root <> star.root").select(F.least("num", "star.num").alias("a"), F.greatest("num", "star.num").alias("b"))
-            pairs, open_ = pairs.union(pair), stage(rest.select("bucket", "num", "n"), "open")
+            pairs, open_ = pairs.union(pair), stage(rest.select("bucket", "num", "n", "alone"), "open")
         elif turn == STAR_ROUNDS:
+            full = stage(_with_alone(full, held, percent, words), "crowds")
             open_ = stage(_crowds(full, nodes), "crowds")
         roots = tied(pairs, roots)
         unstage(named)
