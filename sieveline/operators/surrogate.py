@@ -91,17 +91,28 @@ def fit_bins(reference: DataFrame, features: Sequence[str]) -> Bins:
 
 def copies(x: np.ndarray, salt: int, bins: Bins, samples: int) -> tuple[np.ndarray, np.ndarray]:
     """(flags, values) of the copies of one row; copy 0 is the row itself. The draws depend on ``salt`` alone."""
-    draws = np.random.Generator(np.random.Philox(key=salt % 2**64)).random((2, samples, len(x)))
-    flags, values = np.empty((samples, len(x))), np.empty((samples, len(x)))
+    flags, values = copies_of(x[None], [salt], bins, samples)
+    return flags[0], values[0]
+
+
+def copies_of(x: np.ndarray, salts: Sequence[int], bins: Bins, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """The copies of several rows, (rows, copies, features)."""
+    rows, d = x.shape
+    draws = np.stack([np.random.Generator(np.random.Philox(key=int(s) % 2**64)).random((2, samples, d)) for s in salts], axis=1)
+    flags, values = np.empty((rows, samples, d)), np.empty((rows, samples, d))
     for j, cuts in enumerate(bins.cuts):
-        own = int(np.searchsorted(cuts, x[j], side="left"))
-        drawn = np.minimum(np.searchsorted(np.cumsum(bins.shares[j]), draws[0, :, j], side="right"), len(cuts))
-        at = draws[1, :, j] * (STEPS - 1)
+        own = np.searchsorted(cuts, x[:, j], side="left")
+        drawn = np.zeros((rows, samples), dtype=np.int64)
+        # A share's end after the last cut is never passed.
+        for end in np.cumsum(bins.shares[j])[: len(cuts)]:
+            drawn += draws[0, :, :, j] >= end
+        at = draws[1, :, :, j] * (STEPS - 1)
         low = at.astype(int)
-        table = bins.values[j]
-        values[:, j] = table[drawn, low] + (table[drawn, np.minimum(low + 1, STEPS - 1)] - table[drawn, low]) * (at - low)
-        flags[:, j] = drawn == own
-    flags[0], values[0] = 1.0, x
+        table, place = bins.values[j].ravel(), drawn * STEPS + low
+        start = table.take(place)
+        values[:, :, j] = start + (table.take(place + (low < STEPS - 1)) - start) * (at - low)
+        flags[:, :, j] = drawn == own[:, None]
+    flags[:, 0], values[:, 0] = 1.0, x
     return flags, values
 
 
@@ -162,8 +173,7 @@ def local_surrogate(
             for at in range(0, b.num_rows, ROWS_AT_ONCE):
                 part = b.slice(at, ROWS_AT_ONCE)
                 x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                made = [copies(r, int(s), bins, samples) for r, s in zip(x, part.column("salt").to_numpy())]
-                flags, values = (np.stack(m) for m in zip(*made))
+                flags, values = copies_of(x, part.column("salt").to_pylist(), bins, samples)
                 scores = (1 / (1 + np.exp(-scorer.margins(values.reshape(-1, x.shape[1]))))).reshape(flags.shape[:2])
                 out = _top(flags, copy_weights(flags), scores, penalty, min(top, x.shape[1]))
                 yield pa.record_batch([part.column(key), pa.array(out.tolist(), pa.list_(pa.float64()))], [key, "weights"])

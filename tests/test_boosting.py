@@ -1,5 +1,7 @@
 """Boosted trees against a plain trainer that tries every value of every feature."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +153,54 @@ def test_stratified_folds_and_split(many_partitions):
     missing = rows.withColumn("y", F.when(F.col("k") < 100, F.col("y")))
     got = P.with_exact_split(missing, "k", "y", 0.25)
     assert got.count() == 103 and got.where("y is null and is_test").count() == 0
+
+
+def test_driver_gets_splits_and_no_histograms(spark, data, monkeypatch):
+    """Of a pass the driver reads a row per open node or loss, whatever the number of tasks and bins."""
+    monkeypatch.setattr(B, "TASK_ROWS", 50)
+    monkeypatch.setattr(B, "MERGE_BYTES", 20_000)
+    monkeypatch.setattr(B, "BLOCK_ROWS", 64)
+    seen = []
+    collect = type(data).collect
+
+    def watched(self):
+        got = collect(self)
+        seen.append((len(got), sum(len(v) for r in got for v in r if isinstance(v, (bytes, bytearray)))))
+        return got
+
+    whole = [B.Fit(S.BoostParams(trees=3, depth=3)), B.Fit(S.BoostParams(trees=2, depth=3, seed=5))]
+    alone = B.fit_many(data, FEATURES, whole, "company_id")
+    monkeypatch.setattr(type(data), "collect", watched)
+    split = B.fit_many(data.repartition(8), FEATURES, whole, "company_id")
+    assert seen and all(size == 0 for _, size in seen)
+    assert max(n for n, _ in seen) <= sum(2 ** (f.params.depth - 1) + 2 for f in whole)
+    assert [repr(m.trees) for m in split] == [repr(m.trees) for m in alone]
+
+
+def test_leaf_of_missing_and_equal_values():
+    """Values equal to the cut go left, missing ones right."""
+    none = np.zeros(5)
+    tree = B.Tree(np.array([0, -1, 1, -1, -1]), np.zeros(5, int), np.array([1.0, np.nan, 2.0, np.nan, np.nan]), np.array([1, -1, 3, -1, -1]), np.array([2, -1, 4, -1, -1]), none, none, none, none)
+    x = np.array([[1.0, 9.0], [1.5, 2.0], [np.nan, 2.5], [2.0, np.nan]])
+    assert tree.leaf_of(x, tree.threshold).tolist() == [1, 3, 4, 4]
+    assert tree.leaf_of(x[:0], tree.threshold).tolist() == []
+
+
+def test_masked_margins_are_the_sums_of_leaves():
+    """Bit for bit, with ties, missing values, single leaves, 64 leaves, several groups, and trees too large for masks."""
+    rng = np.random.default_rng(11)
+
+    def tree(inner):
+        feature = np.where(np.arange(2 * inner + 1) < inner, rng.integers(0, 3, 2 * inner + 1), -1)
+        n, split = np.arange(2 * inner + 1), feature >= 0
+        cut = np.where(split, np.round(rng.random(len(n)), 1), np.nan)
+        return B.Tree(feature, 0 * n, cut, np.where(split, 2 * n + 1, -1), np.where(split, 2 * n + 2, -1), rng.normal(size=len(n)), n, n, n)
+
+    x = np.round(rng.random((3000, 3)), 1)
+    x[::7, 1] = np.nan
+    for sizes in ((0, 1, 5, 31, 63) * 41, (70, 3), ()):
+        model = B.BoostedTrees(("a", "b", "c"), S.BoostParams(), tuple(tree(i) for i in sizes))
+        plain = sum((t.value[t.leaf_of(x, t.threshold)] for t in model.trees), np.zeros(len(x)))
+        assert (model.margins(x) == plain).all()
+        assert (model.masks is None) == (70 in sizes)
+        assert "masks" not in pickle.loads(pickle.dumps(model)).__dict__
