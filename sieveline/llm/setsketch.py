@@ -38,6 +38,8 @@ SMALL, STAR_ROUNDS = 8, 2
 #: What is apart in a full bucket then is dealt by further registers, so many that sets of this similarity
 #: rarely meet, and so often that sets of similarity 0.8 miss each other in a bucket with probability e ** -4.
 CROWD, TRIES = 0.7, 4.0
+#: Parts that the shingles of a set in a crowd are counted in.
+PARTS = 64
 
 _random = np.random.default_rng(23)
 _FACTORS = _random.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,12 +160,17 @@ def _band(made: Column, at: int, rows: int = ROWS) -> Column:
 
 def _couples(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) within the buckets of ``rows`` that aren't tied yet and whose sizes allow a link."""
-    one = rows.select("bucket", F.col("num").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "alone", "root")])
-    two = rows.select("bucket", F.col("num").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "alone", "root")])
+    one = rows.select("bucket", F.col("num").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "alone", "parts", "root")])
+    two = rows.select("bucket", F.col("num").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "alone", "parts", "root")])
     both = one.join(two, "bucket").where("a < b and root_a <> root_b")
+    # Each bound stands in this once: Spark works out what repeats for all pairs, whatever the rest of the condition.
+    enough = lambda most: most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     # What a set holds alone among all candidates is in no intersection.
     most = F.least(F.col("n_a") - F.col("alone_a"), F.col("n_b") - F.col("alone_b"))
-    return both.where(most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent).select("a", "b")
+    # Nor is more of a part than the set holds there that has less of it.
+    less = F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y).cast("long"))
+    within = F.aggregate(less, F.lit(0).cast("long"), lambda total, x: total + x)
+    return both.where(enough(most) & F.coalesce(enough(within), F.lit(True))).select("a", "b")
 
 
 def _near_sizes(percent: int) -> Column:
@@ -179,18 +186,42 @@ def _shingle_column(text: Column, words: int) -> Column:
     return made(text)
 
 
+def shared_counts(text: str, alone: np.ndarray | None, words: int) -> np.ndarray | None:
+    """How many shingles of each part, by their numbers, a set holds that aren't its alone; none for sets past 16 bits."""
+    made = shingles(text, words)
+    if len(made) >= 2**15:
+        return None
+    if alone is not None:
+        made = np.setdiff1d(made, np.asarray(alone, dtype=np.int64).view(np.uint64), assume_unique=True)
+    return np.bincount((made % np.uint64(PARTS)).astype(np.int64), minlength=PARTS).astype(np.int16)
+
+
+def _shared_column(words: int) -> Column:
+    @F.pandas_udf("array<smallint>")
+    def made(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, alone in parts:
+            yield pd.Series([shared_counts(t, a, words) for t, a in zip(texts, alone)], dtype="object")
+
+    return made("text", "shingles")
+
+
 def _with_alone(rows: DataFrame, held: DataFrame, percent: int, words: int) -> DataFrame:
-    """``rows`` with the number of shingles that only their set holds, without sets that so can't have a link.
+    """``rows`` with the number of shingles that only their set holds and the parts of the others, without sets that
+    so can't have a link.
 
-    In a crowd of edited copies the edits are what a set holds alone, and they
-    decide most pairs without comparing them.
+    In a crowd of edited copies the edits are what a set holds alone and what
+    it lacks of the others' parts, and they decide most pairs without comparing
+    them. No union in a bucket is smaller than its smallest set.
     """
     texts = held.join(rows.select("num").distinct(), "num")
     each = texts.select("num", F.explode(_shingle_column(F.col("text"), words)).alias("shingle"))
     once = each.groupBy("shingle").agg(F.count("*").alias("sets"), F.min("num").alias("num")).where("sets = 1")
-    alone = stage(once.groupBy("num").agg(F.count("*").alias("alone")), "alone")
-    found = rows.drop("alone").join(alone, "num", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-    return found.where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent)
+    alone = once.groupBy("num").agg(F.count("*").alias("alone"), F.collect_list("shingle").alias("shingles"))
+    facts = texts.join(alone, "num", "left").select("num", F.coalesce("alone", F.lit(0)).alias("alone"), _shared_column(words).alias("parts"))
+    least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
+    found = rows.drop("alone", "parts").join(stage(facts, "alone"), "num").join(least, "bucket")
+    most = F.col("n") - F.col("alone")
+    return found.where(most * 100 >= (F.col("n") + F.greatest(F.col("least") - most, F.lit(0))) * percent).drop("least")
 
 
 def _crowds(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -200,10 +231,10 @@ def _crowds(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     sizes = stage(sizes.withColumn("words", words), "crowds")
     tries = F.ceil(F.lit(TRIES) / F.pow(F.lit(PERCENT / 100), F.col("words"))).cast("int")
     dealt = rows.join(sizes, "bucket").join(nodes.select("num", "made"), "num")
-    dealt = dealt.select("bucket", "num", "n", "alone", "words", "made", F.explode(F.sequence(F.lit(1), tries)).alias("try"))
+    dealt = dealt.select("bucket", "num", "n", "alone", "parts", "words", "made", F.explode(F.sequence(F.lit(1), tries)).alias("try"))
     word = lambda i: F.substring(F.col("made"), (2 * F.pmod(F.xxhash64("bucket", "try", i), F.lit(REGISTERS)) + 1).cast("int"), F.lit(2))
     key = F.transform(F.sequence(F.lit(1), F.col("words")), word)
-    return dealt.select(F.xxhash64("bucket", "try", key).alias("bucket"), "num", "n", "alone")
+    return dealt.select(F.xxhash64("bucket", "try", key).alias("bucket"), "num", "n", "alone", "parts")
 
 
 def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -219,7 +250,8 @@ def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: in
     compared in pairs, so nothing that shares a band is dropped unseen.
     """
     bands = [_band(F.col("made"), i) for i in range(BANDS)]
-    rows = nodes.select(F.explode(F.array(*bands)).alias("bucket"), "num", "n", F.lit(0).cast("long").alias("alone"))
+    unknown = F.lit(0).cast("long").alias("alone"), F.lit(None).cast("array<smallint>").alias("parts")
+    rows = nodes.select(F.explode(F.array(*bands)).alias("bucket"), "num", "n", *unknown)
     ends = rows.groupBy("bucket").agg(F.min("num").alias("low"), F.max("num").alias("high")).where("low < high")
     ends = stage(ends, "bands")
     open_ = stage(rows.join(ends, "bucket"), "bands")
@@ -245,7 +277,7 @@ def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: in
     met = met.select("num", F.explode(F.array("low", "high")).alias("other")).where("num <> other")
     roots = tied(met.select(F.least("num", "other").alias("a"), F.greatest("num", "other").alias("b")), None)
     for turn in range(STAR_ROUNDS + 2):
-        named = open_.select("bucket", "num", "n", "alone")
+        named = open_.select("bucket", "num", "n", "alone", "parts")
         named = named.withColumn("root", F.col("num")) if roots is None else named.join(roots, "num", "left").withColumn("root", F.coalesce("root", "num"))
         apart = named.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
         apart = stage(apart.where("low <> high").select("bucket", "size"), "apart")
@@ -261,7 +293,7 @@ def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: in
             stars = stage(full.groupBy("bucket").agg(star), "stars")
             rest = full.join(stars, "bucket").where("num <> star.num")
             pair = rest.where("root <> star.root").select(F.least("num", "star.num").alias("a"), F.greatest("num", "star.num").alias("b"))
-            pairs, open_ = pairs.union(pair), stage(rest.select("bucket", "num", "n", "alone"), "open")
+            pairs, open_ = pairs.union(pair), stage(rest.select("bucket", "num", "n", "alone", "parts"), "open")
         elif turn == STAR_ROUNDS:
             full = stage(_with_alone(full, held, percent, words), "crowds")
             open_ = stage(_crowds(full, nodes), "crowds")

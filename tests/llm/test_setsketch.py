@@ -91,6 +91,30 @@ def test_a_crowd_below_the_bound(spark, monkeypatch, turns):
     assert sum(seen) < 0.5 * 500 * 499 / 2, seen
 
 
+def test_edits_that_few_share_rule_pairs_out(spark):
+    """Texts whose every edit is in another, too, hold nothing alone; what they lack keeps them apart, and no link is lost."""
+    rng = random.Random(9)
+    base, n = [f"b{i}" for i in range(300)], 60
+    edits = [{rng.randrange(300): f"e{i}-{j}" for j in range(10)} for i in range(n)]
+    texts = [" ".join((edits[i] | edits[(i + 1) % n]).get(at, w) for at, w in enumerate(base)) for i in range(n)]
+    texts += [texts[5].replace("b150", "other"), " ".join(base), " ".join(base[:270])]
+    sets = [plain(t) for t in texts]
+    held = spark.createDataFrame(list(enumerate(texts)), "num long, text string")
+    rows = spark.createDataFrame([(1, i, len(s), 0, None, i) for i, s in enumerate(sets)], "bucket long, num long, n long, alone long, parts array<smallint>, root long")
+    got = {(r.a, r.b) for r in K._couples(K._with_alone(rows, held, 80, 4), 80).collect()}
+    linked = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert (5, n) in linked and (n + 1, n + 2) in linked and linked <= got
+    assert len(got) < 0.1 * len(sets) ** 2 / 2, len(got)
+
+
+def test_part_counts_leave_out_what_is_alone_and_very_large_sets():
+    text = " ".join(f"w{i}" for i in range(100))
+    made = K.shingles(text, 4)
+    assert K.shared_counts(text, None, 4).sum() == 97
+    assert K.shared_counts(text, made[:30].view(np.int64), 4).sum() == 67
+    assert K.shared_counts(" ".join(map(str, range(2**15 + 3))), None, 4) is None
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(2)
     numbers = rng.integers(0, 2**64, 30_000, dtype=np.uint64)
