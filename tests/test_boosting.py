@@ -177,6 +177,31 @@ def test_driver_gets_splits_and_no_histograms(spark, data, monkeypatch):
     assert [repr(m.trees) for m in split] == [repr(m.trees) for m in alone]
 
 
+def test_tasks_that_hold_the_table_grow_the_trees_of_passes(data, monkeypatch):
+    fits = [
+        B.Fit(S.BoostParams(trees=12, depth=4, learning_rate=0.3, loss_reduction=0.2, positive_weight=1.7)),
+        B.Fit(S.BoostParams(trees=3, depth=2, column_sample=0.5, seed=7, l1=0.5, l2=2.0), "company_id % 3 <> 0"),
+        B.Fit(S.BoostParams(trees=40, depth=5, learning_rate=0.8, min_child_weight=0, l2=0.1, **FULL), "company_id % 4 <> 0", "company_id % 4 = 0", 4),
+        B.Fit(S.BoostParams(trees=2, depth=1), "company_id < 0"),
+        B.Fit(S.BoostParams(trees=0, depth=1)),
+    ]
+    held = []
+    for cores in (2, 20):
+        monkeypatch.setattr(type(data.sparkSession.sparkContext), "defaultParallelism", cores)
+        held += B.fit_many(data, FEATURES, fits, "company_id")
+    monkeypatch.setattr(B, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(B, "TASK_ROWS", 100)
+    for a, b in zip(held, 2 * B.fit_many(data, FEATURES, fits, "company_id"), strict=True):
+        assert (a.params, a.features, a.losses, a.best_round, len(a.trees)) == (b.params, b.features, b.losses, b.best_round, len(b.trees))
+        for s, t in zip(a.trees, b.trees):
+            assert all(np.array_equal(x, y, equal_nan=True) and x.dtype == y.dtype for x, y in zip(vars(s).values(), vars(t).values()) if isinstance(x, np.ndarray))
+
+
+def test_no_rows_make_trees_of_one_leaf(data):
+    model = B.fit_many(data.where("false"), FEATURES, [B.Fit(S.BoostParams(trees=2, depth=3))], "company_id")[0]
+    assert [t.value.tolist() for t in model.trees] == [[0.0], [0.0]]
+
+
 def test_leaf_of_missing_and_equal_values():
     """Values equal to the cut go left, missing ones right."""
     none = np.zeros(5)

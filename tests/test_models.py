@@ -109,6 +109,42 @@ def test_ensembles(data):
     assert ((votes >= 2).astype(int) == hard.prediction).all()
 
 
+def fitted_by(query, spark, data, monkeypatch):
+    """The settings and rows of the first models that a query asks for."""
+
+    class Asked(Exception):
+        pass
+
+    def fit_all(df, features, fits):
+        raise Asked(fits)
+
+    monkeypatch.setattr(model_queries, "_MADE", {})
+    monkeypatch.setattr(model_queries, "rows", lambda *_: data)
+    monkeypatch.setattr(L, "fit_all", fit_all)
+    with pytest.raises(Asked) as asked:
+        query(spark, "own rows")
+    return [(f.params, f.where) for f in asked.value.args[0]]
+
+
+def test_ensemble_comparison_fits_whole_presets(spark, data, monkeypatch):
+    got = fitted_by(model_queries.ensemble_comparison, spark, data, monkeypatch)
+    parts = ["true", "not is_blend", "fold <> 0", "fold <> 1", "fold <> 2"]
+    assert len(got) == 15 and set(got) == {(p, w) for p in S.PRESETS.values() for w in parts}
+    assert sorted(p.trees for p in S.PRESETS.values()) == [150, 200, 300]
+
+
+def test_comparison_is_of_the_ensembles_fitted_alone(data):
+    split = P.with_exact_split(data, L.KEY, L.LABEL, 0.3)
+    train, test = split.where("not is_test").drop("is_test"), split.where("is_test")
+    got = {r.method: r for r in E.compare(train, test, FEATURES, PRESETS, 3).collect()}
+    alone = {"voting": E.fit_voting(train, FEATURES, PRESETS), "stacking": E.fit_stacking(train, FEATURES, PRESETS, 3), "blending": E.fit_blending(train, FEATURES, PRESETS)}
+    assert set(got) == set(alone)
+    for name, fitted in alone.items():
+        made = fitted.predict(test).toPandas()
+        assert got[name].accuracy == pytest.approx((made.prediction == made.label).mean())
+    assert sum(r.is_best for r in got.values()) == 1
+
+
 def test_stacking_weights_are_the_penalised_optimum(data):
     fitted = E.fit_stacking(data, FEATURES, PRESETS, 2, c=0.5)
     held = fitted.held_out.toPandas()
