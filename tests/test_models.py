@@ -133,6 +133,12 @@ def test_ensemble_comparison_fits_whole_presets(spark, data, monkeypatch):
     assert sorted(p.trees for p in S.PRESETS.values()) == [150, 200, 300]
 
 
+def test_stacking_ensemble_fits_whole_presets(spark, data, monkeypatch):
+    got = fitted_by(model_queries.stacking_ensemble, spark, data, monkeypatch)
+    parts = ["true", *(f"fold <> {i}" for i in range(5))]
+    assert len(got) == 18 and set(got) == {(p, w) for p in S.PRESETS.values() for w in parts}
+
+
 def test_comparison_is_of_the_ensembles_fitted_alone(data):
     split = P.with_exact_split(data, L.KEY, L.LABEL, 0.3)
     train, test = split.where("not is_test").drop("is_test"), split.where("is_test")
